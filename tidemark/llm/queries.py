@@ -7,7 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, cooccur, overlap, pairs, topn
+from tidemark.llm import components, cooccur, leaks, overlap, packing, pairs, subjects, topn
 from tidemark.session import read_table
 
 
@@ -88,7 +88,69 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return t.select("item_a", "item_b")
 
 
-QUERIES = {f.__name__: f for f in (p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_surprise, p7_found)}
+CAPACITY = 4096
+TOKENIZERS = "/opt/tokenizers"
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    lengths = read_table(spark, d, "documents").select("doc_id", packing.word_punct_tokens("text").alias("n_tokens"))
+    return packing.pack(lengths, "doc_id", "n_tokens", CAPACITY)
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), CAPACITY)
+
+
+def p8_fill_bpe(spark: SparkSession, d: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """As p8_fill, in tokens of a public byte-pair tokenizer."""
+    lengths = packing.bpe_tokens(read_table(spark, d, "documents"), "doc_id", "text", ranks)
+    return packing.fill_report(packing.pack(lengths, "doc_id", "n_tokens", CAPACITY), CAPACITY)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that the packing had to cut."""
+    return _packed(spark, d).where("piece = 1").select("doc_id").distinct()
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_windows(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).where("edits = 0").select("doc_id", "item_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and leaked items with the fewest word edits and the number of the item's windows found."""
+    return _leaks(spark, d).groupBy("doc_id", "item_id").agg(F.min("edits").alias("least_edits"), F.countDistinct("held_pos").alias("n_windows"))
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    codes = sorted(r.subject for r in read_table(spark, d, "subjects").select("subject").where("subject is not null").distinct().limit(subjects.MOST_SUBJECTS + 1).collect())
+    sec = subjects.section_subjects(read_table(spark, d, "documents"), "doc_id", "text", read_table(spark, d, "subject_labels"), "doc_id", "subject", codes)
+    return subjects.document_subjects(sec, "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Composition of the corpus: articles of each subject, and articles weighed by the subject's share of their sections."""
+    return _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("share"), 4).alias("weight"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_surprise, p7_found,
+        p8_pack, p8_fill, p8_fill_bpe, p8_found, p9_found, p9_leaks, p10_found, p10_composition,
+    )
+}
 
 _TOP3 = """SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
   SELECT user_id, item_id, CAST(coalesce(sum(play_count), 0) AS BIGINT) AS score FROM (SELECT DISTINCT user_id, item_id, timestamp, play_count FROM interactions
@@ -129,4 +191,12 @@ ORACLE = {
   SELECT DISTINCT pair_id FROM g WHERE grp IN (SELECT grp FROM g GROUP BY 1 HAVING count(DISTINCT s) > 1)""",
     "p7_pairs": _DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_found": _DAYS + "SELECT item_a, item_b FROM j WHERE n_ab * n_baskets >= 3 * n_a * n_b",
+    "p8_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) > 4096",
+    "p9_found": r"""WITH w AS (SELECT kind, id, word, row_number() OVER (PARTITION BY kind, id ORDER BY pos) AS pos FROM (
+  SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
+    SELECT kind, id, regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+') AS ws FROM (
+      SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM eval_items WHERE text IS NOT NULL)))),
+g AS (SELECT kind, id, string_agg(word, ' ') OVER (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS gram,
+  count(*) OVER (PARTITION BY kind, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS n FROM w)
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM g d JOIN g i ON d.gram = i.gram AND d.kind = 'd' AND i.kind = 'i' AND d.n = 13 AND i.n = 13""",
 }

@@ -18,7 +18,7 @@ def score_cell(score: Column) -> Column:
     return F.when(s.isNull(), F.lit(-(2**31))).when(F.isnan(s), F.lit(2**31 - 1)).otherwise(F.least(F.greatest(cell, F.lit(-(2**30))), F.lit(2**30))).cast("bigint")
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int, most_heavy: int = 10_000) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int, most_heavy: int = 100_000) -> DataFrame:
     """The ``n`` rows of each ``group`` with the highest ``score``, ties going to the smaller ``item``; adds ``rank`` from 1.
 
     Output: group, item, score, rank.
