@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import scale_queries
+from tidemark.plans import scale_queries, txn_queries
 
-QUERIES = {**scale_queries.QUERIES}
-ORACLE = {**scale_queries.ORACLE}
-FLAGSHIP = "p1_found"
+_PARTS = (txn_queries, scale_queries)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
+FLAGSHIP = "min_cost_threshold"
