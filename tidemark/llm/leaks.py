@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import Stage, require_columns
 
-#: Bytes of text that are cut into words at once; bits of each of the two filters over the index's keys.
-SLICE, FILTER_BITS = 1 << 20, 24
+#: Bytes of text that are cut into words at once; bits of each of the two filters over the index's keys;
+#: rows of the index up to which it is broadcast (about 200 bytes each at 13 words).
+SLICE, FILTER_BITS, MOST_BROADCAST = 1 << 20, 24, 100_000
 _ODD = 0x9E3779B97F4A7C15
 _END = 255  # a byte that UTF-8 never has; stands between texts
 
@@ -276,21 +277,22 @@ def leaked_windows(corpus: DataFrame, id: str, text: str, held: DataFrame, held_
         at = index.select(part.alias("c")).distinct().toPandas()["c"].to_numpy(np.int64)
         np.bitwise_or.at(cells[k], at >> 3, (1 << (at & 7)).astype(np.uint8))
     hits = pick(corpus, id, text).mapInArrow(_windows(walks, cells, "cid"), "cid bigint, " + fields)
-    met = hits.alias("c").join(index.alias("h"), (F.col("c.key") == F.col("h.key")) & (F.col("c.table") == F.col("h.table")))
-    pairs = met.select("cid", "hid", F.col("c.pos").alias("pos"), F.col("h.pos").alias("held_pos"), F.col("c.words").alias("a"), F.col("h.words").alias("b"))
-    same = pairs.where("a = b").select("cid", "hid", "pos", "held_pos", F.lit(0).alias("edits")).distinct()
-    out = same
-    if edits:
-
-        def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), window) for c in ("a", "b"))
-                    # a window that lost a word at its end is compared with the beginnings of the other, both ways
-                    pdf["edits"] = np.minimum(word_edits(a, b), word_edits(b, a)).astype(np.int32)
-                    yield pdf.loc[pdf["edits"] <= edits, ["cid", "hid", "pos", "held_pos", "edits"]]
-
-        other = pairs.where("a <> b").dropDuplicates(["cid", "hid", "pos", "held_pos"])
-        out = same.unionByName(other.mapInPandas(verify, "cid bigint, hid bigint, pos int, held_pos int, edits int"))
+    names = index.select("hid", F.col("pos").alias("held_pos"), "table", "key", F.col("words").alias("b"))
+    # an index of a checked, small size goes to the executors whole; any other is joined by shuffle
+    met = hits.withColumnRenamed("words", "a").join(F.broadcast(names) if index.count() <= MOST_BROADCAST else names, ["table", "key"])
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), window) for c in ("a", "b"))
+                found = np.zeros(len(pdf), np.int32)
+                differ = np.flatnonzero((a != b).any(axis=1))
+                # a window that lost a word at its end is compared with the beginnings of the other, both ways
+                found[differ] = np.minimum(word_edits(a[differ], b[differ]), word_edits(b[differ], a[differ]))
+                pdf["edits"] = found
+                yield pdf.loc[found <= edits, ["cid", "hid", "pos", "held_pos", "edits"]]
+
+    fields = "cid bigint, hid bigint, pos int, held_pos int, edits int"
+    out = met.select("cid", "hid", "pos", "held_pos", "a", "b").mapInPandas(verify, fields).distinct()
     held_name = held_id if held_id != id else f"held_{held_id}"
     return out.select(F.col("cid").alias(id), F.col("hid").alias(held_name), "pos", "held_pos", "edits")
