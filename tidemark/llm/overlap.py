@@ -68,15 +68,15 @@ def shingle_frequencies(texts: DataFrame, text: str) -> np.ndarray:
 
 
 def _index(texts: DataFrame, freq: np.ndarray, edits: int) -> DataFrame:
-    """id, len, key, pos: the rarest shingles of each text, and, for short texts, its shortened forms."""
+    """id, len, odd, key, pos: the rarest shingles of each text, and, for short texts, its shortened forms."""
     prefix, short = SHINGLE * edits + 1, SHINGLE * edits + SHINGLE + edits - 1
     rank = np.argsort(np.argsort(freq, kind="stable"), kind="stable").astype(np.int32)
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, lens, keys, poss = [], [], [], []
+            ids, lens, odds, keys, poss = [], [], [], [], []
             for i, t in zip(pdf["id"].to_numpy(), pdf["t"], strict=True):
-                h = _grams(t)
+                h, odd = _grams(t), _odd_letters(t)
                 if len(h) >= prefix:
                     r = rank[(h % np.uint64(CELLS)).astype(np.int64)]
                     order = np.lexsort((h, r))
@@ -87,16 +87,24 @@ def _index(texts: DataFrame, freq: np.ndarray, edits: int) -> DataFrame:
                     poss.append(take.astype(np.int32))
                     ids.append(np.full(len(take), i))
                     lens.append(np.full(len(take), len(t), np.int32))
+                    odds.append(np.full(len(take), odd))
                 if len(t) <= short:
                     forms = np.array([_form_key(s) for s in _shortened(t, edits)], np.uint64)
                     keys.append(forms.view(np.int64))
                     poss.append(np.zeros(len(forms), np.int32))
                     ids.append(np.full(len(forms), i))
                     lens.append(np.full(len(forms), len(t), np.int32))
+                    odds.append(np.full(len(forms), odd))
             if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "len": np.concatenate(lens), "key": np.concatenate(keys), "pos": np.concatenate(poss)})
+                yield pd.DataFrame({"id": np.concatenate(ids), "len": np.concatenate(lens), "odd": np.concatenate(odds), "key": np.concatenate(keys), "pos": np.concatenate(poss)})
 
-    return texts.select("id", "t").mapInPandas(entries, "id bigint, len int, key bigint, pos int").distinct()
+    return texts.select("id", "t").mapInPandas(entries, "id bigint, len int, odd bigint, key bigint, pos int").distinct()
+
+
+def _odd_letters(text: str) -> np.int64:
+    """64 bits: which of 64 classes of characters stand in the text an odd number of times. An edit changes two bits at most."""
+    c = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % 64, minlength=64) & 1
+    return np.packbits(c.astype(np.uint8)).view(">i8")[0].astype(np.int64)
 
 
 def _form_key(s: str) -> int:
@@ -114,15 +122,17 @@ def near_text_pairs(texts: DataFrame, edits: int = 2) -> DataFrame:
     Method: an exact prefix filter. The shingles of a text (of ``SHINGLE`` characters) are put in one global order, rare ones
     first; two texts within ``edits`` share one of their first SHINGLE * edits + 1 shingles, at places at most ``edits``
     apart, and differ as little in length. The prefixes of the evaluation texts are the index, those of the training texts
-    probe it; the candidates that pass the place and length filters are verified by their edit distance. Texts too short for
+    probe it; the candidates that pass the place and length filters, and differ in few letters' parities (two per edit at most), are verified
+    by their edit distance. Texts too short for
     a full prefix meet through their forms with up to ``edits`` characters deleted, which is exact as well. The order rests
     on frequencies over all texts, kept in a fixed number of hash cells.
     """
     base = Stage(texts.select("id", "t", "in_train", "in_eval").where("t is not null"))
     freq = shingle_frequencies(base.df, "t")
     train = _index(base.df.where("in_train"), freq, edits)
-    held = _index(base.df.where("in_eval"), freq, edits).select(F.col("id").alias("eid"), F.col("len").alias("elen"), "key", F.col("pos").alias("epos"))
+    held = _index(base.df.where("in_eval"), freq, edits).select(F.col("id").alias("eid"), F.col("len").alias("elen"), F.col("odd").alias("eodd"), "key", F.col("pos").alias("epos"))
     near = (F.abs(F.col("len") - F.col("elen")) <= edits) & (F.abs(F.col("pos") - F.col("epos")) <= edits)
+    near = near & (F.bit_count(F.col("odd").bitwiseXOR(F.col("eodd"))) <= 2 * edits)
     cand = train.join(held, "key").where(near).select(F.col("id").alias("train_id"), F.col("eid").alias("eval_id")).distinct()
     text = lambda i, t: base.df.select(F.col("id").alias(i), F.col("t").alias(t))
     both = cand.join(text("train_id", "a"), "train_id").join(text("eval_id", "b"), "eval_id")
