@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,6 +90,31 @@ def minimum_slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[
     return out
 
 
+def best_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The same by best fit in falling order, for containers of one content at a time: each length goes where it leaves least room."""
+    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for size in sorted((x for x, n in counts.items() if n > 0 and 0 < x <= capacity), reverse=True):
+        left = counts[size]
+        while left:
+            room = min((r for r in by_room if r >= size), default=None)
+            if room is None:
+                k = capacity // size
+                full, part = divmod(left, k)
+                for each, times in ((k, full), (part, 1)):
+                    if each and times:
+                        by_room.setdefault(capacity - each * size, []).append(((size,) * each, times))
+                break
+            content, times = by_room[room].pop()
+            used = min(times, left)
+            if used < times:
+                by_room[room].append((content, times - used))
+            if not by_room[room]:
+                del by_room[room]
+            by_room.setdefault(room - size, []).append(((*content, size), used))
+            left -= used
+    return [(dict(Counter(content)), times) for groups in by_room.values() for content, times in groups]
+
+
 def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame:
     """Assigns items to containers of ``capacity`` tokens with little room left over.
 
@@ -97,7 +123,8 @@ def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame
 
     Method: minimum bin slack on the counts of pieces by length (at most ``capacity`` rows, whatever the data), by bitset
     subset sums with the counts traced back; a pattern is used as often as its lengths last, so the plan doesn't grow with
-    the number of items. The pieces of a length are numbered without bringing them together (numbers within hashed chunks,
+    the number of items. Where best fit on the same counts needs fewer containers, its plan is taken: on lengths that are large
+    against the capacity, minimum bin slack spends the short ones on early containers and the last ones stay half full. The pieces of a length are numbered without bringing them together (numbers within hashed chunks,
     plus the chunks' running totals), and a number's place in the plan gives its container.
 
     Defined cases: an item of no tokens, or null, takes no room and gets one row with container_id null; ids may repeat
@@ -117,7 +144,8 @@ def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame
     counts = {r.size_: int(r.n) for r in cells.groupBy(F.col("size").alias("size_")).agg(F.sum("n").alias("n")).collect()}
     plan, base = [], 0
     used: dict[int, int] = dict.fromkeys(counts, 0)
-    for uses, times in minimum_slack_patterns(counts, capacity):
+    plans = [f(counts, capacity) for f in (minimum_slack_patterns, best_fit_patterns)]
+    for uses, times in min(plans, key=lambda p: sum(times for _, times in p)):
         for s, u in uses.items():
             plan.append((s, used[s], u, base))
             used[s] += u * times
