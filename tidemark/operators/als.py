@@ -140,9 +140,9 @@ def als_top_k(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block
                 s = np.stack(part["f"].to_numpy()) @ y.T
                 keep = np.minimum(part["n"].to_numpy() + k, len(ids))
                 order = np.argsort(-s, axis=1, kind="stable")
-                for i, (u, m) in enumerate(zip(part["user_id"], keep, strict=True)):
-                    top = order[i, :m]
-                    out.append(pd.DataFrame({"user_id": u, "item_id": ids[top], "score": s[i, top]}))
+                row, place = np.nonzero(np.arange(len(ids)) < keep[:, None])
+                top = order[row, place]
+                out.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[row], "item_id": ids[top], "score": s[row, top]}))
         return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []})
 
     salted = work.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(16)))

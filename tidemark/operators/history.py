@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cyclic
 from tidemark.operators.order import exact_quantiles
-from tidemark.session import micros, require_columns
+from tidemark.session import Stage, micros, require_columns
 
 #: Minutes that stand for "no earlier event", night hours.
 NO_PRIOR_MINUTES = 525_600.0
@@ -38,7 +38,7 @@ def with_history(df: DataFrame, entity: str, ts: str, id: str, value: str, categ
     require_columns(df, entity, ts, id, value, category)
     e, i, v, t, day = "__e", "__i", "__v", "__t", "__day"
     rows = df.withColumns({e: F.col(entity), i: F.col(id), v: F.col(value).cast("double"), t: micros(ts)})
-    rows = rows.withColumn(day, F.floor(F.col(t) / _DAY_US))
+    rows = Stage(rows.withColumn(day, F.floor(F.col(t) / _DAY_US))).df  # read four times below, by few columns
     about = 50.0
     c = F.col(v) - about
     daily = rows.where(f"{t} is not null").groupBy(e, day).agg(

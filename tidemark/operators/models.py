@@ -41,7 +41,8 @@ class Model:
         # a column without a single number has no median: it says nothing and is left out
         some = t.agg(*(F.count(f"n_{c}").alias(c) for c in self.numeric)).first()
         used = [c for c in self.numeric if some[c]]
-        gaps = [c for c in used if some[c] < t.count()]
+        n_rows = t.count()
+        gaps = [c for c in used if some[c] < n_rows]
         stages = [Imputer(strategy="median", inputCols=[f"n_{c}" for c in used], outputCols=[f"i_{c}" for c in used])]
         stages += [VectorAssembler(inputCols=[f"i_{c}" for c in used], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="scaled", withMean=True)]
         parts = ["scaled", *(f"gap_{c}" for c in gaps)]
@@ -69,7 +70,7 @@ def _weight(balanced: bool) -> dict:
 
 def logistic(c: float = 1.0):
     """Logistic regression with the penalty 1 / (c n), as sums over rows rather than means would have it."""
-    return lambda t, b: LogisticRegression(featuresCol="features", labelCol="label_", regParam=1 / (c * max(t.count(), 1)), standardization=False, maxIter=100, **_weight(b))
+    return lambda t, b: LogisticRegression(featuresCol="features", labelCol="label_", regParam=1 / (c * max(t.count(), 1)), standardization=False, maxIter=50, tol=1e-4, **_weight(b))
 
 
 def boosted_classifier(trees: int = 20, depth: int = 5, seed: int = 7):

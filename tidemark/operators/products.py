@@ -15,6 +15,15 @@ from tidemark.session import Stage, require_columns
 TILE = 1000
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring groups of about ``most`` in sum."""
+    upto, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _add_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Adds the outer products of the groups' value vectors in a dense tile; gives the non-zero cells of each tile once."""
     tile, m = None, None
@@ -28,10 +37,19 @@ def _add_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if key != tile:
                 if tile is not None:
                     yield flush()
-                side = int(max(part["na"].max(), part["nb"].max()))
-                tile, m = key, np.zeros((side, side))
-            for a, x, b, y in zip(part["a"], part["x"], part["b"], part["y"], strict=True):
-                m[np.ix_(a, b)] += np.outer(x, y)
+                n = int(max(part["na"].max(), part["nb"].max()))
+                tile, m = key, np.zeros((n, n))
+            na, nb = (part[c].map(len).to_numpy() for c in ("a", "b"))
+            for lo, hi in _runs(na * nb, 4_000_000):
+                p, a_len, b_len = part.iloc[lo:hi], na[lo:hi], nb[lo:hi]
+                a, x, b, y = (np.concatenate(p[c].to_list()) for c in ("a", "x", "b", "y"))
+                # every place of a meets all places of b of its own group
+                times = np.repeat(b_len, a_len)
+                first = np.repeat(np.cumsum(b_len) - b_len, a_len)
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)
+                side = m.shape[1]
+                cells = np.repeat(a.astype(np.int64), times) * side + b[at]
+                m += np.bincount(cells, np.repeat(x, times) * y[at], m.size).reshape(m.shape)
     if tile is not None:
         yield flush()
 
@@ -54,7 +72,9 @@ def item_products(df: DataFrame, group: str, item: str, value: str) -> DataFrame
     pieces = Stage(named.groupBy("g", "t").agg(F.collect_list(F.struct("p", "v")).alias("l")).join(F.broadcast(sides), "t").select("g", "t", "n", "l.p", "l.v")).df
     one = pieces.select("g", F.col("t").alias("ta"), F.col("n").alias("na"), F.col("p").alias("a"), F.col("v").alias("x"))
     two = pieces.select("g", F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("p").alias("b"), F.col("v").alias("y"))
-    work = one.join(two, "g").where("ta <= tb").withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(4)))
+    # a tile is cut among several tasks only as far as there are groups enough to fill it
+    salts = min(64, max(1, pieces.count() // 200_000))
+    work = one.join(two, "g").where("ta <= tb").withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(salts)))
     work = work.repartition("ta", "tb", "salt").sortWithinPartitions("ta", "tb").drop("g", "salt")
     sums = work.mapInPandas(_add_tiles, "ta int, ia int, tb int, ib int, v double").groupBy("ta", "ia", "tb", "ib").agg(F.sum("v").alias("v"))
     half = sums.unionAll(sums.where("ta < tb").select("tb", "ib", "ta", "ia", "v"))

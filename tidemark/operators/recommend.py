@@ -105,12 +105,15 @@ def random_top_k(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, se
 
 
 def item_neighbours(train: DataFrame, k: int = 100, shrink: float = 10.0) -> DataFrame:
-    """src, dst, similarity: cosine of raw counts, shrunk; the ``k`` most similar of each src (ties to the smaller dst)."""
+    """src, dst, similarity: cosine of raw counts, shrunk; the ``k`` most similar of each src (ties to the smaller dst).
+
+    Similarities are rounded to 12 decimals, scores to 10, so that the order in which a sum was formed decides no tie.
+    """
     require_columns(train, "user_id", "item_id", "play_count")
     p = Stage(item_products(train, "user_id", "item_id", "play_count")).df
     norm = p.where("src = dst").select(F.col("src").alias("i"), F.sqrt("product").alias("norm"))
     a, b = norm.select(F.col("i").alias("src"), F.col("norm").alias("na")), norm.select(F.col("i").alias("dst"), F.col("norm").alias("nb"))
-    s = p.where("src <> dst and product <> 0").join(a, "src").join(b, "dst").select("src", "dst", (F.col("product") / (F.col("na") * F.col("nb") + shrink + 1e-9)).alias("similarity"))
+    s = p.where("src <> dst and product <> 0").join(a, "src").join(b, "dst").select("src", "dst", F.round(F.col("product") / (F.col("na") * F.col("nb") + shrink + 1e-9), 12).alias("similarity"))
     w = Window.partitionBy("src").orderBy(F.desc("similarity"), F.asc("dst"))
     return s.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
@@ -120,7 +123,7 @@ def item_knn_scores(train: DataFrame, neighbours: DataFrame, users: DataFrame) -
     sim = Stage(neighbours).df
     mine = train.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("item_id").alias("src"), "play_count").repartition("user_id")
     sim2 = F.broadcast(sim) if sim.count() <= MOST_BROADCAST else sim
-    return mine.join(sim2, "src").groupBy("user_id", F.col("dst").alias("item_id")).agg(F.sum(F.col("play_count") * F.col("similarity")).alias("score"))
+    return mine.join(sim2, "src").groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum(F.col("play_count") * F.col("similarity")), 10).alias("score"))
 
 
 def per_user_accuracy(recs: DataFrame, test: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -23,7 +23,7 @@ ENCODED = ["question_target_enc_min", "question_target_enc_max", "question_seen_
 def _texts(pairs: DataFrame) -> DataFrame:
     """Each different text once: h, t, and how often it occurs on either side."""
     both = pairs.select(F.col("question1").alias("t")).unionAll(pairs.select(F.col("question2").alias("t"))).where("t is not null")
-    return both.groupBy("t").agg(F.count("*").alias("mult")).withColumn("h", F.md5("t"))
+    return both.groupBy("t").agg(F.count("*").alias("mult")).withColumn("h", F.unhex(F.md5("t")))
 
 
 def fit_idf(pairs: DataFrame, grams: Callable[[Column], Column], min_df: int, most: int) -> DataFrame:
@@ -39,13 +39,14 @@ def fit_idf(pairs: DataFrame, grams: Callable[[Column], Column], min_df: int, mo
 def tfidf_cosine(pairs: DataFrame, idf: DataFrame, grams: Callable[[Column], Column]) -> DataFrame:
     """pair_id, cosine of the two texts' vectors of (1 + ln tf) * idf; 0 if one is empty.
 
-    Vectors are made once per different text. The vocabulary is bounded by the fit, so it is broadcast.
+    Vectors are made once per different text. The vocabulary is bounded by the fit, so it is numbered and broadcast.
     """
+    idf = Stage(idf.select("term", "idf", F.row_number().over(Window.orderBy("term")).alias("k"))).df
     tf = _texts(pairs).select("h", F.explode(grams(F.col("t"))).alias("term")).groupBy("h", "term").agg(F.count("*").alias("tf"))
-    v = tf.join(F.broadcast(idf.select("term", "idf")), "term").select("h", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    v = tf.join(F.broadcast(idf), "term").select("h", F.col("k").alias("term"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     v = Stage(v).df
     norms = v.groupBy("h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda q, k: pairs.select("pair_id", F.md5(q).alias("h"), F.lit(k).alias("k"))
+    side = lambda q, k: pairs.select("pair_id", F.unhex(F.md5(q)).alias("h"), F.lit(k).alias("k"))
     entries = side("question1", 1).unionAll(side("question2", 2)).join(v.join(norms, "h").select("h", "term", (F.col("w") / F.col("norm")).alias("w")), "h")
     w = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("w"))), F.lit(0.0))
     dot = entries.groupBy("pair_id", "term").agg((w(1) * w(2)).alias("p")).groupBy("pair_id").agg(F.sum("p").alias("cosine"))

@@ -198,7 +198,7 @@ ORACLE = {
     "split_report": _CD
     + f" SELECT coalesce(part, 'dropped') AS part, count(*) AS n, {R.format('count(*) / (SELECT count(*) FROM sp)')} AS share, {R.format('avg(is_duplicate)')} AS duplicate_rate FROM sp GROUP BY 1",
     "rebalanced_split": _RS
-    + """, te AS (SELECT * FROM sp WHERE part = 'test'), n AS (SELECT greatest(1, round_even(count(*) FILTER (WHERE is_duplicate <> 1) * 0.2 / 0.8, 0)) AS k FROM te)
+    + """, te AS (SELECT * FROM sp WHERE part = 'test'), n AS (SELECT greatest(1, round_even(count(*) FILTER (WHERE is_duplicate <> 1) * 0.2::DOUBLE / (1 - 0.2::DOUBLE), 0)) AS k FROM te)
   SELECT pair_id, is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY is_duplicate ORDER BY (pair_id * 7919) % 10007, pair_id) AS r FROM te), n WHERE is_duplicate <> 1 OR r <= k""",
     "question_overlap": _RS
     + """ SELECT question1 AS question FROM sp WHERE part = 'train' AND 1 = 0 UNION (SELECT unnest([question1, question2]) FROM sp WHERE part = 'train'

@@ -131,7 +131,7 @@ _KNN = (
     _C
     + f""", dt AS (SELECT a.item_id AS src, b.item_id AS dst, sum(CAST(a.play_count AS DOUBLE) * b.play_count) AS p FROM tr a JOIN tr b USING (user_id) GROUP BY 1, 2),
 nm AS (SELECT src AS i, sqrt(p) AS n FROM dt WHERE src = dst),
-sim AS (SELECT src, dst, p / (x.n * y.n + 10.0 + 1e-9) AS similarity FROM dt JOIN nm x ON x.i = src JOIN nm y ON y.i = dst WHERE src <> dst AND p <> 0),
+sim AS (SELECT src, dst, round(p / (x.n * y.n + 10.0 + 1e-9), 12) AS similarity FROM dt JOIN nm x ON x.i = src JOIN nm y ON y.i = dst WHERE src <> dst AND p <> 0),
 nb AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS r FROM sim) WHERE r <= {NEIGHBOURS})"""
 )
 
@@ -148,7 +148,7 @@ ORACLE = {
     "popularity_topk_masked": _POP + f" SELECT user_id, rank, item_id, {R.format('score')} AS score FROM rec",
     "item_knn_neighbours": _KNN + f" SELECT src, dst, {R.format('similarity')} AS similarity FROM nb",
     "item_knn_topk": _KNN
-    + f""", sc AS (SELECT user_id, dst AS item_id, sum(play_count * similarity) AS score FROM tr SEMI JOIN te USING (user_id) JOIN nb ON src = tr.item_id GROUP BY 1, 2),
+    + f""", sc AS (SELECT user_id, dst AS item_id, round(sum(play_count * similarity), 10) AS score FROM tr SEMI JOIN te USING (user_id) JOIN nb ON src = tr.item_id GROUP BY 1, 2),
   rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN tr USING (user_id, item_id))
   SELECT user_id, rank, item_id, {R.format("score")} AS score FROM rk WHERE rank <= {K}""",
     "rec_accuracy": _ACC + f" SELECT {R.format('avg(recall)')} AS recall, {R.format('avg(hit)')} AS hit_rate, {R.format('avg(ndcg)')} AS ndcg, {R.format('avg(map)')} AS map FROM pu",
