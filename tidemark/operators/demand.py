@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,12 +139,15 @@ def backtest_columns(features: DataFrame, folds: DataFrame, models: dict[str, st
     return out.select(F.col("__m.model").alias("model"), "fold", "origin", date, key, "category", "days_ahead", "units", forecast.alias("forecast"))
 
 
-def summarise(predictions: DataFrame) -> DataFrame:
-    """Per model: metrics over all rows, and the population deviation and maximum of the folds' WAPE."""
-    y, f = F.col("units"), F.col("forecast")
-    overall = predictions.groupBy("model").agg(*(c.alias(n) for n, c in forecast_metrics(y, f).items()))
-    per = predictions.groupBy("model", "fold").agg(forecast_metrics(y, f)["wape"].alias("w"))
-    spread = per.groupBy("model").agg(F.stddev_pop("w").alias("wape_std"), F.max("w").alias("wape_worst"), F.count("*").alias("n_folds"))
+def summarise(predictions: DataFrame, metrics: Callable[[Column, Column], dict[str, Column]] = forecast_metrics, spread_of: str = "wape") -> DataFrame:
+    """Per model: metrics over all rows, and the population deviation and maximum over folds of one of them.
+
+    ``metrics`` makes named aggregates of (units, forecast); any built-in or pandas aggregate will do.
+    """
+    made = metrics(F.col("units"), F.col("forecast"))
+    overall = predictions.groupBy("model").agg(*(c.alias(n) for n, c in made.items()))
+    per = predictions.groupBy("model", "fold").agg(made[spread_of].alias("w"))
+    spread = per.groupBy("model").agg(F.stddev_pop("w").alias(f"{spread_of}_std"), F.max("w").alias(f"{spread_of}_worst"), F.count("*").alias("n_folds"))
     return overall.join(spread, "model")
 
 
