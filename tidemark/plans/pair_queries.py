@@ -182,7 +182,7 @@ def _kind(kind: str) -> str:
 
 ORACLE = {
     "token_stats": _Q
-    + f" SELECT pair_id, len(k) AS n_tokens, len(list_filter(list_distinct(k), lambda z: NOT list_contains({_STOP}, z))) AS n_content, n_chars FROM (SELECT pair_id, {_TOK.format('question1')} AS k, length(question1) AS n_chars FROM pairs)",
+    + f" SELECT pair_id, CAST(len(k) AS INTEGER) AS n_tokens, CAST(len(list_filter(list_distinct(k), lambda z: NOT list_contains({_STOP}, z))) AS INTEGER) AS n_content, CAST(n_chars AS INTEGER) AS n_chars FROM (SELECT pair_id, {_TOK.format('question1')} AS k, length(question1) AS n_chars FROM pairs)",
     "idf_table": _vectors(_WORDS, 2, textpairs.MOST_WORDS) + f" SELECT term, df, {R.format('idf')} AS idf FROM idf",
     "tfidf_word_cosine": _vectors(_WORDS, 2, textpairs.MOST_WORDS) + _COS,
     "tfidf_char_cosine": _vectors(_CHARS, 3, textpairs.MOST_CHARS) + _COS,

@@ -145,12 +145,12 @@ ORACLE = {
     "repeat_collapse": _C + " SELECT * FROM c",
     "leave_last_out": _C + " SELECT user_id, item_id, split FROM s",
     "train_test_leak_check": _C + " SELECT count(*) AS n_leaked FROM te SEMI JOIN tr USING (user_id, item_id)",
-    "popularity_topk_masked": _POP + f" SELECT user_id, rank, item_id, {R.format('score')} AS score FROM rec",
+    "popularity_topk_masked": _POP + f" SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {R.format('score')} AS score FROM rec",
     "item_knn_neighbours": _KNN + f" SELECT src, dst, {R.format('similarity')} AS similarity FROM nb",
     "item_knn_topk": _KNN
     + f""", sc AS (SELECT user_id, dst AS item_id, round(sum(play_count * similarity), 10) AS score FROM tr SEMI JOIN te USING (user_id) JOIN nb ON src = tr.item_id GROUP BY 1, 2),
   rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN tr USING (user_id, item_id))
-  SELECT user_id, rank, item_id, {R.format("score")} AS score FROM rk WHERE rank <= {K}""",
+  SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {R.format("score")} AS score FROM rk WHERE rank <= {K}""",
     "rec_accuracy": _ACC + f" SELECT {R.format('avg(recall)')} AS recall, {R.format('avg(hit)')} AS hit_rate, {R.format('avg(ndcg)')} AS ndcg, {R.format('avg(map)')} AS map FROM pu",
     "rec_distribution": _POP
     + f""", x AS (SELECT cat.item_id, coalesce(n_users, 0) AS nu, coalesce(c, 0) AS c FROM cat LEFT JOIN pop USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS c FROM rec GROUP BY 1) USING (item_id)),
