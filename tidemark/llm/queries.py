@@ -152,7 +152,7 @@ QUERIES = {
     )
 }
 
-_TOP3 = """SELECT * FROM (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (
+_TOP3 = """SELECT * FROM (SELECT user_id, item_id, score, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM (
   SELECT user_id, item_id, CAST(coalesce(sum(play_count), 0) AS BIGINT) AS score FROM (SELECT DISTINCT user_id, item_id, timestamp, play_count FROM interactions
   WHERE user_id IS NOT NULL AND item_id IS NOT NULL) GROUP BY 1, 2)) WHERE rank <= 3"""
 # DuckDB's levenshtein counts bytes; capitals, which lower-cased texts don't have, stand for the accented letters so that it counts characters
