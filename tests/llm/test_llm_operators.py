@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, cooccur, leaks, overlap, packing, pairs, subjects, topn
+from tidemark.llm import components, cooccur, leaks, overlap, packing, pairs, queries, subjects, topn
 
 
 def groups_of(edges, nodes):
@@ -234,6 +234,16 @@ def test_planted_pairs_are_significant_and_others_not(spark):
     assert (100, 101) in found and len(found) <= 3
 
 
+def test_rare_pairs_come_out(spark, tmp_path):
+    """Pairs below p7_found's share of the baskets: here 6 and 1 of 2,006."""
+    rows = [(u, 1 + u % 3) for u in range(2000)] + [(u, i) for u in range(2000, 2006) for i in (101, 102)] + [(2000, 7)]
+    spark.createDataFrame(rows, "user_id bigint, item_id bigint").selectExpr("*", "timestamp_ntz '2024-01-05 10:00:00' as timestamp").write.parquet(f"{tmp_path}/interactions.parquet")
+    for name in ("p7_all_pairs", "p7_surprise"):
+        got = {(r.item_a, r.item_b): r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert {k: (r.n_a, r.n_b, r.n_ab, r.n_baskets) for k, r in got.items()} == {(101, 102): (6, 6, 6, 2006), (7, 101): (1, 6, 1, 2006), (7, 102): (1, 6, 1, 2006)}
+    assert got[101, 102].significant
+
+
 # problem 8
 
 

@@ -68,23 +68,37 @@ def p6_assign(spark: SparkSession, d: str) -> DataFrame:
     return components.assign_splits(q, "pair_id", ["q1", "q2"])
 
 
-def _together(spark: SparkSession, d: str) -> DataFrame:
+def _together(spark: SparkSession, d: str, min_count: int = 1, min_share: Fraction = Fraction(0)) -> DataFrame:
     plays = read_table(spark, d, "interactions").select("user_id", F.to_date("timestamp").alias("day"), "item_id")
-    return cooccur.co_occurrence(plays, ["user_id", "day"], "item_id", 5, Fraction(1, 200))
+    return cooccur.co_occurrence(plays, ["user_id", "day"], "item_id", min_count, min_share)
 
 
-def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
-    t = _together(spark, d)
+#: The least count and share of the baskets in p7_found's case.
+CASE = 5, Fraction(1, 200)
+
+
+def _ratios(t: DataFrame) -> DataFrame:
     return t.select("item_a", "item_b", "n_a", "n_b", "n_ab", "n_baskets", F.round("ratio", 4).alias("ratio"))
 
 
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs that are frequent enough for p7_found, with any ratio; p7_all_pairs has the others too."""
+    return _ratios(_together(spark, d, *CASE))
+
+
+def p7_all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs."""
+    return _ratios(_together(spark, d))
+
+
 def p7_surprise(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair that occurs, with its surprise; discoveries are counted over all pairs of all items."""
     return _together(spark, d)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     wide = lambda c: F.col(c).cast("decimal(19,0)")
-    t = _together(spark, d).where((F.col("n_ab") >= 5) & (wide("n_ab") * 200 >= wide("n_baskets")) & (wide("n_ab") * wide("n_baskets") >= wide("n_a") * wide("n_b") * 3))
+    t = _together(spark, d, *CASE).where((F.col("n_ab") >= 5) & (wide("n_ab") * 200 >= wide("n_baskets")) & (wide("n_ab") * wide("n_baskets") >= wide("n_a") * wide("n_b") * 3))
     return t.select("item_a", "item_b")
 
 
@@ -147,7 +161,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_surprise, p7_found,
+        p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_all_pairs, p7_surprise, p7_found,
         p8_pack, p8_fill, p8_fill_bpe, p8_found, p9_found, p9_leaks, p10_found, p10_composition,
     )
 }
@@ -178,6 +192,8 @@ p AS (SELECT x.item_id AS item_a, y.item_id AS item_b, count(*) AS n_ab FROM d x
 j AS (SELECT item_a, item_b, na.n AS n_a, nb_.n AS n_b, n_ab, nb AS n_baskets FROM p JOIN n na ON na.item_id = item_a JOIN n nb_ ON nb_.item_id = item_b, t
   WHERE n_ab >= 5 AND 200 * n_ab >= nb) """
 
+_ALL_DAYS = _DAYS.replace("\n  WHERE n_ab >= 5 AND 200 * n_ab >= nb", "")
+
 ORACLE = {
     "p3_top_items": _TOP3,
     "p3_found": f"SELECT user_id, item_id FROM ({_TOP3})",
@@ -190,6 +206,7 @@ ORACLE = {
   g AS (SELECT pair_id, s, coalesce(c.comp, 'alone ' || x.node) AS grp FROM x LEFT JOIN c ON x.node = c.node)
   SELECT DISTINCT pair_id FROM g WHERE grp IN (SELECT grp FROM g GROUP BY 1 HAVING count(DISTINCT s) > 1)""",
     "p7_pairs": _DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
+    "p7_all_pairs": _ALL_DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_found": _DAYS + "SELECT item_a, item_b FROM j WHERE n_ab * n_baskets >= 3 * n_a * n_b",
     "p8_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) > 4096",
     "p9_found": r"""WITH w AS (SELECT kind, id, word, row_number() OVER (PARTITION BY kind, id ORDER BY pos) AS pos FROM (
