@@ -1,6 +1,7 @@
 """Hand-computed values, invariants and error paths of the analytic operators."""
 
 import datetime as dt
+import inspect
 import math
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.functions import text as T
 from tidemark.operators import als, decision, demand, history, metrics, models, products, recommend, textpairs
+from tidemark.plans import rec_queries
 from tidemark.sources import generators, sinks, tables
 from tidemark.streaming import history as sh
 
@@ -210,6 +212,35 @@ def test_als_descends_and_finds_blocks(spark):
     assert all(set(best[u]) == {r.item_id for r in top if r.user_id == u} for u in list(x)[:10])
 
 
+def test_als_queries_fit_the_whole_model(spark, sf, monkeypatch):
+    """32 factors and 15 rounds, as the operator's defaults."""
+    asked = []
+    one_round = lambda train, *a, **k: asked.append((a, k)) or fit(train, iterations=1)
+    fit = als.fit_als
+    monkeypatch.setattr(als, "fit_als", one_round)
+    factors = rec_queries.als_factors(spark, sf).collect()
+    rec_queries.als_objective(spark, sf), rec_queries.als_topk(spark, sf)
+    assert asked == [((), {})] * 3 and {len(r.f) for r in factors} == {32}
+    assert inspect.signature(fit).parameters["size"].default == 32 and inspect.signature(fit).parameters["iterations"].default == 15
+
+
+@pytest.mark.parametrize("limits", [{}, {"MOST_BROADCAST": 0, "LIGHT": 10, "MOST_OPEN": 2}, {"MOST_ROWS": 3}])
+def test_als_ways_to_the_sums_agree(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(als, name, value)
+    rng = np.random.default_rng(7)
+    m = (rng.random((50, 30)) < np.linspace(0.9, 0.1, 30)) * rng.integers(1, 5, (50, 30))
+    rows = [(int(u), int(i), int(m[u, i])) for u, i in zip(*np.nonzero(m))]
+    users, items = als.fit_als(spark.createDataFrame(rows, "user_id bigint, item_id bigint, play_count int"), 4, 2, 1.0, 10.0)
+    x, y = {r.id: np.array(r.f) for r in users.collect()}, {r.id: np.array(r.f) for r in items.collect()}
+    assert users.count() == len(x) == len({u for u, _, _ in rows}) and items.count() == len(y) == len({i for _, i, _ in rows})
+    a = {i: sum(np.outer(v, v) for v in x.values()) + np.eye(4) for i in y}
+    b = {i: np.zeros(4) for i in y}
+    for u, i, r in rows:
+        a[i], b[i] = a[i] + 10.0 * r * np.outer(x[u], x[u]), b[i] + (1 + 10.0 * r) * x[u]
+    assert all(np.allclose(np.linalg.solve(a[i], b[i]), y[i], atol=1e-6) for i in y)
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("How do I install Docker on Ubuntu?", "How do I install Docker on Ubuntu?"), ("Docker images", "guitar chords 7"), ("", "x"), ("ä1 b", "a" * 50_000)], "question1 string, question2 string")
     df = df.withColumn("pair_id", F.monotonically_increasing_id())

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.recommend import masked_top_k
 from tidemark.session import Stage, require_columns
 
+#: Factor values up to which one side is broadcast; rows up to which an id's rows are brought together rather than their sums;
+#: rows of an id in one partition of the ratings; ids whose sums a task holds at once.
+MOST_BROADCAST, LIGHT, MOST_ROWS, MOST_OPEN = 2_000_000, 400, 100_000, 4000
+
 
 def _init(ids: DataFrame, factors: int, seed: int, scale: float = 0.01) -> DataFrame:
     """Normal start values from hashes (Box-Muller), the same on every run and partitioning."""
@@ -35,27 +39,65 @@ def gram(factors: DataFrame, size: int) -> np.ndarray:
     return np.array([r.v for r in rows]).reshape(size, size) if rows else np.zeros((size, size))
 
 
-def _solve(ratings: DataFrame, me: str, other: str, fixed: DataFrame, size: int, reg: float, alpha: float) -> DataFrame:
-    """Factors of ``me`` given those of ``other``.
+def _by(ratings: DataFrame, me: str, other: str) -> DataFrame:
+    """id, o, r and n, the id's rows: written with an id's rows side by side, in several partitions only beyond ``MOST_ROWS``."""
+    n = ratings.groupBy(me).agg(F.count("*").alias("n"))
+    rows = ratings.join(n, me).select(F.col(me).alias("id"), F.col(other).alias("o"), "r", "n")
+    return Stage(rows.repartition("id", F.pmod(F.xxhash64("o"), F.ceil(F.col("n") / MOST_ROWS))).sortWithinPartitions("id")).df
+
+
+def _solve(ratings: DataFrame, fixed: DataFrame, size: int, reg: float, alpha: float) -> Stage:
+    """Factors of the ids of ``ratings`` (id, o, r, n) given those of the o.
 
-    The normal equations of an id are added up in two steps: each task adds the rows it has (so an id with a third of all
-    rows is shared by many tasks), and only these sums are brought together by id and solved.
+    A task adds up the normal equations of the rows it has. An id with all its n rows there is solved at once; the sums of
+    the others (so an id with a third of all rows is shared by many tasks) are brought together by id and solved. A small
+    ``fixed`` is broadcast to the rows as they lie; otherwise the rows of ids with few of them are brought together first.
     """
     base = gram(fixed, size) + reg * np.eye(size)
-    width = size * size + size
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        acc: dict[int, list] = {}
+        ids, sums = [], []
+
+        def solved() -> pd.DataFrame:
+            a = np.stack([x for x, _ in sums]) + base
+            out = pd.DataFrame({"id": ids, "f": list(np.linalg.solve(a, np.stack([x for _, x in sums])[:, :, None])[:, :, 0]), "s": None})
+            ids.clear(), sums.clear()
+            return out
+
+        def unsolved() -> pd.DataFrame:
+            out = pd.DataFrame({"id": list(acc), "f": None, "s": [np.r_[a.ravel(), b] for _, a, b in acc.values()]})
+            acc.clear()
+            return out
+
         for pdf in batches:
-            for lo in range(0, len(pdf), 4000):
-                p = pdf.iloc[lo : lo + 4000].sort_values("id", kind="stable")
-                y, r, ids = np.stack(p["f"].to_numpy()), p["r"].to_numpy(float), p["id"].to_numpy()
-                starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-                a = np.add.reduceat((y[:, :, None] * y[:, None, :] * (alpha * r)[:, None, None]).reshape(len(p), -1), starts)
-                b = np.add.reduceat(y * (1 + alpha * r)[:, None], starts)
-                yield pd.DataFrame({"id": ids[starts], "s": list(np.hstack([a, b]))})
+            if not len(pdf):
+                continue
+            p = pdf.sort_values("id", kind="stable")
+            y, r, own, n = np.stack(p["f"].to_numpy()), p["r"].to_numpy(float), p["id"].to_numpy(), p["n"].to_numpy()
+            wy, wb = y * (alpha * r)[:, None], y * (1 + alpha * r)[:, None]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            for lo, hi, b in zip(starts, [*starts[1:], len(p)], np.add.reduceat(wb, starts), strict=True):
+                key, a, k = int(own[lo]), wy[lo:hi].T @ y[lo:hi], hi - lo
+                if k < n[lo]:
+                    before = acc.pop(key, (0, 0.0, 0.0))
+                    k, a, b = k + before[0], a + before[1], b + before[2]
+                if k == n[lo]:
+                    ids.append(key)
+                    sums.append((a, b))
+                else:
+                    acc[key] = [k, a, b]
+            if len(ids) >= 500:
+                yield solved()
+            if len(acc) > MOST_OPEN:
+                yield unsolved()
+        if ids:
+            yield solved()
+        if acc:
+            yield unsolved()
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, total = None, np.zeros(width)
+        last, total = None, np.zeros(size * size + size)
 
         def done(ids: list, sums: np.ndarray) -> pd.DataFrame:
             a = sums[:, : size * size].reshape(-1, size, size) + base
@@ -78,9 +120,18 @@ def _solve(ratings: DataFrame, me: str, other: str, fixed: DataFrame, size: int,
         if last is not None:
             yield done([last], total[None])
 
-    rows = ratings.select(F.col(me).alias("id"), F.col(other).alias("o"), "r").join(fixed.select(F.col("id").alias("o"), "f"), "o").select("id", "r", "f")
-    sums = rows.mapInPandas(partial, "id bigint, s array<double>")
-    return sums.repartition("id").sortWithinPartitions("id").mapInPandas(finish, "id bigint, f array<double>")
+    known = fixed.select(F.col("id").alias("o"), "f")
+    if fixed.count() * size <= MOST_BROADCAST:
+        rows = ratings.join(F.broadcast(known), "o").select("id", "r", "n", "f")
+    else:
+        joined = ratings.join(known.hint("merge"), "o").select("id", "r", "n", "f")
+        rows = joined.where(F.col("n") <= LIGHT).repartition("id").sortWithinPartitions("id").unionAll(joined.where(F.col("n") > LIGHT))
+    first = Stage(rows.mapInPandas(partial, "id bigint, f array<double>, s array<double>"))
+    sums = first.df.where("s is not null").select("id", "s")
+    rest = sums.repartition("id").sortWithinPartitions("id").mapInPandas(finish, "id bigint, f array<double>")
+    out = Stage(first.df.where("f is not null").select("id", "f").unionAll(rest))
+    first.drop()
+    return out
 
 
 def fit_als(train: DataFrame, size: int = 32, iterations: int = 15, reg: float = 60.0, alpha: float = 8.0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -91,11 +142,12 @@ def fit_als(train: DataFrame, size: int = 32, iterations: int = 15, reg: float =
     """
     require_columns(train, "user_id", "item_id", "play_count")
     ratings = Stage(train.select("user_id", "item_id", F.col("play_count").cast("double").alias("r"))).df
+    by_user, by_item = _by(ratings, "user_id", "item_id"), _by(ratings, "item_id", "user_id")
     items = Stage(_init(ratings.select(F.col("item_id").alias("id")).distinct(), size, seed))
     users: Stage | None = None
     for _ in range(iterations):
-        new_users = Stage(_solve(ratings, "user_id", "item_id", items.df, size, reg, alpha))
-        new_items = Stage(_solve(ratings, "item_id", "user_id", new_users.df, size, reg, alpha))
+        new_users = _solve(by_user, items.df, size, reg, alpha)
+        new_items = _solve(by_item, new_users.df, size, reg, alpha)
         for old in (users, items):
             if old:
                 old.drop()

@@ -11,7 +11,7 @@ from tidemark.plans.txn_queries import R
 from tidemark.session import Stage, read_table
 from tidemark.sources.tables import PLAYS_SQL, plays
 
-K, NEIGHBOURS, FACTORS, ITERATIONS = 10, 20, 8, 3
+K, NEIGHBOURS = 10, 20
 
 
 def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -85,19 +85,19 @@ def rec_by_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def als_factors(spark: SparkSession, d: str) -> DataFrame:
-    users, items = als.fit_als(_split(spark, d)[0], FACTORS, ITERATIONS)
+    users, items = als.fit_als(_split(spark, d)[0])
     return users.withColumn("side", F.lit("user")).unionByName(items.withColumn("side", F.lit("item")))
 
 
 def als_objective(spark: SparkSession, d: str) -> DataFrame:
     train = _split(spark, d)[0]
-    users, items = als.fit_als(train, FACTORS, ITERATIONS)
+    users, items = als.fit_als(train)
     return spark.createDataFrame([(als.als_objective(train, users, items),)], "objective double")
 
 
 def als_topk(spark: SparkSession, d: str) -> DataFrame:
     train, test, _ = _split(spark, d)
-    users, items = als.fit_als(train, FACTORS, ITERATIONS)
+    users, items = als.fit_als(train)
     return als.als_top_k(users.join(test.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"), items, train, K)
 
 
