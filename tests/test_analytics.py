@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar
 from tidemark.functions import text as T
 from tidemark.operators import als, decision, demand, history, metrics, models, products, recommend, textpairs
-from tidemark.plans import rec_queries
+from tidemark.plans import demand_queries, model_queries, rec_queries
 from tidemark.sources import generators, sinks, tables
 from tidemark.streaming import history as sh
 
@@ -251,6 +251,28 @@ def test_item_knn_full_keeps_100_neighbours(spark, tmp_path):
     assert sizes == {100}
 
 
+def test_learned_models_forecast_every_fold(spark, sf):
+    base, got = demand_queries.backtest_predictions(spark, sf), model_queries.tweedie_forecast(spark, sf)
+    assert set(got.columns) == set(base.columns)
+    keys = ["fold", "origin", "date", "sku_id", "days_ahead", "units"]
+    want = sorted(tuple(r) for r in base.where("model = 'moving_average'").select(keys).collect())
+    assert sorted(tuple(r) for r in got.select(keys).collect()) == want and len({r[0] for r in want}) == 3
+
+
+def test_learned_models_are_fitted_on_all_rows_in_stock(spark, sf, monkeypatch):
+    sizes = []
+
+    class Counting(models.Model):
+        def fit(self, train):
+            sizes.append(train.count())
+            return super().fit(train)
+
+    monkeypatch.setattr(models, "Model", Counting)
+    model_queries.tweedie_forecast(spark, sf)
+    stocked, folds = demand.densify(tables.sales(spark, sf)).where("was_in_stock"), demand_queries.backtest_folds(spark, sf).orderBy("fold").collect()
+    assert sizes == [stocked.where(F.col("date") <= F.lit(f.origin)).count() for f in folds]
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("How do I install Docker on Ubuntu?", "How do I install Docker on Ubuntu?"), ("Docker images", "guitar chords 7"), ("", "x"), ("ä1 b", "a" * 50_000)], "question1 string, question2 string")
     df = df.withColumn("pair_id", F.monotonically_increasing_id())

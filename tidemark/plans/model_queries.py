@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +39,66 @@ def gbt_weighted_metrics(spark: SparkSession, d: str) -> DataFrame:
     return metrics.ranking_metrics(_fraud(spark, d, models.boosted_classifier(10, 4), True), "label", "score")
 
 
-def _forecasts(spark: SparkSession, d: str, estimator) -> DataFrame:
+LEARNED = {"tweedie": models.tweedie, "gbt": lambda: models.boosted_regressor(10, 4)}
+
+
+def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     panel = Stage(demand.densify(sales(spark, d))).df
-    feats = Stage(demand.build_features(panel, HORIZON)).df
+    return panel, Stage(demand.build_features(panel, HORIZON)).df
+
+
+def _forecasts(panel: DataFrame, feats: DataFrame, name: str) -> DataFrame:
+    """A learned model in the schema of backtest_columns, refitted in every fold on all rows in stock up to its origin."""
     a, b = panel.agg(F.min("date"), F.max("date")).first()
-    fold = demand.rolling_origin_folds(a, b, HORIZON, FOLDS, MIN_DAYS)[-1]
     cols = [c for c in demand.feature_columns(HORIZON) if c != f"lag_{demand.YEARLY}"] + demand.CALENDAR
-    train = demand.training_frame(feats).where((F.col("date") <= F.lit(fold.origin)) & F.col(f"lag_{HORIZON}").isNotNull()).withColumn("label", F.col("units"))
-    test = feats.where(F.col("date").between(F.lit(fold.test_start), F.lit(fold.test_end)))
-    return models.Model(estimator, cols, ["category"]).fit(train).score(test, ["sku_id", "date", "units"])
+    parts = []
+    for fold in demand.rolling_origin_folds(a, b, HORIZON, FOLDS, MIN_DAYS):
+        train = demand.training_frame(feats).where(F.col("date") <= F.lit(fold.origin)).withColumn("label", F.col("units"))
+        test = feats.where(F.col("date").between(F.lit(fold.test_start), F.lit(fold.test_end)))
+        scored = models.Model(LEARNED[name](), cols, ["category"]).fit(train).score(test, ["date", "sku_id", "category", "units"])
+        origin = F.lit(fold.origin)
+        parts.append(
+            scored.select(
+                F.lit(name).alias("model"), F.lit(fold.index).alias("fold"), origin.alias("origin"), "date", "sku_id", "category",
+                F.datediff("date", origin).alias("days_ahead"), "units", F.col("score").alias("forecast"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def tweedie_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return _forecasts(spark, d, models.tweedie())
+    return _forecasts(*_panel(spark, d), "tweedie")
 
 
 def gbt_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return _forecasts(spark, d, models.boosted_regressor(10, 4))
+    return _forecasts(*_panel(spark, d), "gbt")
+
+
+def _backtest(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of the baselines and the learned models in one table."""
+    panel, feats = _panel(spark, d)
+    base = demand.backtest_columns(feats, demand.folds_frame(panel, HORIZON, FOLDS, MIN_DAYS), demand.baseline_columns(HORIZON))
+    return Stage(reduce(DataFrame.unionByName, (_forecasts(panel, feats, name) for name in LEARNED), base)).df
+
+
+def learned_backtest_summary(spark: SparkSession, d: str) -> DataFrame:
+    return demand.summarise(_backtest(spark, d))
+
+
+def learned_value_add(spark: SparkSession, d: str) -> DataFrame:
+    return demand.value_added(demand.summarise(_backtest(spark, d)), "seasonal_naive")
+
+
+def learned_by_category(spark: SparkSession, d: str) -> DataFrame:
+    return demand.by_group(_backtest(spark, d), "model", "category")
+
+
+def learned_by_horizon_day(spark: SparkSession, d: str) -> DataFrame:
+    return demand.by_group(_backtest(spark, d), "model", "days_ahead")
+
+
+def learned_by_week(spark: SparkSession, d: str) -> DataFrame:
+    return demand.by_week(_backtest(spark, d))
 
 
 def pair_lr_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -66,5 +111,11 @@ def pair_lr_scores(spark: SparkSession, d: str) -> DataFrame:
     return model.score(rows.where("split = 'test'"), ["pair_id", "label"])
 
 
-QUERIES = {f.__name__: f for f in (lr_scores, gbt_scores, gbt_weighted_metrics, tweedie_forecast, gbt_forecast, pair_lr_scores)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lr_scores, gbt_scores, gbt_weighted_metrics, tweedie_forecast, gbt_forecast, pair_lr_scores,
+        learned_backtest_summary, learned_value_add, learned_by_category, learned_by_horizon_day, learned_by_week,
+    )
+}
 ORACLE: dict[str, str] = {}
