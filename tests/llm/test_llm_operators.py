@@ -370,6 +370,14 @@ def test_filters_have_a_fixed_size():
     assert pa.array(["a"]).cast(pa.large_binary())[0].as_buffer().to_pybytes() == b"a"
 
 
+def test_two_texts_of_one_held_out_id_both_leak(spark):
+    old, new = (" ".join(f"{k}{i}" for i in range(20)) for k in ("old", "new"))
+    corpus = spark.createDataFrame([(1, f"so {old} it"), (2, f"so {new} it")], "doc_id bigint, text string")
+    held = spark.createDataFrame([(7, old), (7, new), (7, new)], "item_id bigint, held string")
+    got = leaks.leaked_windows(corpus, "doc_id", "text", held, "item_id", "held").where("edits = 0").collect()
+    assert sorted((r.doc_id, r.held_pos) for r in got) == [(d, p) for d in (1, 2) for p in range(8)]
+
+
 # problem 10
 
 TERMS = {"sky": ["telescope", "galaxy", "nebula", "orbit", "comet"], "soil": ["basalt", "sediment", "magma", "fault", "quartz"], "law": ["statute", "appeal", "contract", "verdict", "witness"]}

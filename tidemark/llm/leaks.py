@@ -260,8 +260,8 @@ def leaked_windows(corpus: DataFrame, id: str, text: str, held: DataFrame, held_
     sent to the executors, and only windows that pass are joined with the index; the join spills and splits like any other,
     so the index may be of any size. Pairs that meet are verified by their exact edit distance in words.
 
-    Defined cases: null, empty and shorter texts than ``window`` words have no window; repeated rows give repeated places
-    once per id; null ids take no part; very long texts are read in slices cut at white space. Empty tables: no rows.
+    Defined cases: null, empty and shorter texts than ``window`` words have no window; repeated rows give their places
+    once per id, different texts of one id all theirs; null ids take no part; very long texts are read in slices cut at white space. Empty tables: no rows.
     """
     require_columns(corpus, id, text)
     require_columns(held, held_id, held_text)
@@ -270,7 +270,7 @@ def leaked_windows(corpus: DataFrame, id: str, text: str, held: DataFrame, held_
     walks = walks_for(window, edits, recall)
     fields = "pos int, table int, key bigint, words binary"
     pick = lambda df, i, t: df.select(F.col(i).cast("bigint").alias("i"), F.col(t).cast("string").alias("t")).where("i is not null and t is not null")
-    index = Stage(pick(held, held_id, held_text).mapInArrow(_windows(walks, None, "hid"), "hid bigint, " + fields).dropDuplicates(["hid", "pos", "table"])).df
+    index = Stage(pick(held, held_id, held_text).mapInArrow(_windows(walks, None, "hid"), "hid bigint, " + fields).distinct()).df
     cells = tuple(np.zeros(1 << FILTER_BITS >> 3, np.uint8) for _ in range(2))
     # at most 2 ** FILTER_BITS different cells each, whatever the size of the index
     for k, part in enumerate((F.shiftrightunsigned("key", 64 - FILTER_BITS), F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))):
