@@ -2,20 +2,60 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import Stage, require_columns
 
+#: Bytes of text looked at together; different lengths in a plan; shares of the capacity that a container may leave unused.
+SLICE, MOST_LENGTHS, SLACKS = 1 << 20, 8192, (0, 1 / 64, 1 / 32, 1 / 16, 3 / 32, 1 / 8)
+
+
+#: Classes of bytes: white space, A-Z a-z 0-9 and _, anything else (all bytes of characters outside ASCII).
+_CLASS = np.full(256, 2, np.uint8)
+_CLASS[list(b" \t\n\v\f\r")] = 0
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = 1
+
+
+def count_runs(texts: pa.Array) -> np.ndarray:
+    """Number of word-punctuation tokens of each text, many texts at once: places where the class of the bytes changes to one
+    that isn't white space. Null: 0."""
+    t = pc.fill_null(texts, "").cast(pa.large_binary())
+    if not len(t):
+        return np.zeros(0, np.int64)
+    _, offsets, data = t.buffers()
+    at = np.frombuffer(offsets, np.int64)[t.offset : t.offset + len(t) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    out, lo = np.zeros(len(t), np.int64), 0
+    while lo < len(t):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+        c = _CLASS[raw[at[lo] : at[hi]]]
+        start = c != 0
+        start[1:] &= c[1:] != c[:-1]
+        first = at[lo:hi] - at[lo]
+        inside = first < at[lo + 1 : hi + 1] - at[lo]
+        start[first[inside]] = c[first[inside]] != 0  # a text begins anew whatever stands before it
+        upto = np.concatenate([[0], np.cumsum(start)])
+        out[lo:hi] = upto[at[lo + 1 : hi + 1] - at[lo]] - upto[first]
+        lo = hi
+    return out
+
 
 def word_punct_tokens(text: Column | str) -> Column:
     """Number of word-punctuation tokens: runs of A-Z, a-z, 0-9 and _, or of other characters that aren't white space. Null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\x0B\f\r]+")), F.lit(0)).cast("bigint")
+
+    @F.arrow_udf("bigint")
+    def count(t: pa.Array) -> pa.Array:
+        return pa.array(count_runs(t))
+
+    return count(F.col(text) if isinstance(text, str) else text)
 
 
 def bpe_tokens(df: DataFrame, id: str, text: str, ranks_path: str) -> DataFrame:
@@ -38,16 +78,17 @@ def bpe_tokens(df: DataFrame, id: str, text: str, ranks_path: str) -> DataFrame:
     return out.withColumnRenamed("id", id)
 
 
-def _choose(sizes: list[int], left: dict[int, int], room: int) -> dict[int, int]:
-    """The multiset of remaining lengths whose sum comes closest to ``room``, as uses per length.
+def _choose(sizes: list[int], left: dict[int, int], room: int, slack: int) -> dict[int, int]:
+    """The multiset of remaining lengths whose sum comes closest to ``room``, as uses per length; a sum that leaves at most
+    ``slack`` is close enough, and the first that is found so has the longest lengths.
 
     Bit k of ``reach`` says that the sum k can be made. Lengths come in falling order, each with its remaining count in
     binary portions; the states passed through allow to trace back which portions were used.
     """
-    mask = (1 << (room + 1)) - 1
+    mask, goal = (1 << (room + 1)) - 1, max(room - slack, 0)
     reach, trail = 1, []
-    for size in sizes:
-        if size > room:
+    for size in sizes if goal else ():
+        if size > room or not left[size]:
             continue
         n, portion = min(left[size], room // size), 1
         while n > 0:
@@ -58,7 +99,7 @@ def _choose(sizes: list[int], left: dict[int, int], room: int) -> dict[int, int]
                 reach = after
             n -= k
             portion *= 2
-        if reach >> room & 1:
+        if reach >> goal:
             break
     at, uses = reach.bit_length() - 1, {}
     for size, k, before in reversed(trail):
@@ -68,51 +109,45 @@ def _choose(sizes: list[int], left: dict[int, int], room: int) -> dict[int, int]
     return uses
 
 
-def minimum_slack_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+def minimum_slack_patterns(counts: dict[int, int], capacity: int, slack: int = 0) -> list[tuple[dict[int, int], int]]:
     """Fills containers for items counted by length; (uses per length, number of such containers) each.
 
     The longest remaining length opens a container; the rest of it is filled by the multiset of remaining lengths that comes
-    closest to the room left, and the pattern is repeated while its lengths last.
+    closest to the room left, or within ``slack`` of it, and the pattern is repeated while its lengths last.
     """
     left = {s: n for s, n in counts.items() if n > 0 and 0 < s <= capacity}
     sizes, out = sorted(left, reverse=True), []
     while sizes:
         top = sizes[0]
         left[top] -= 1
-        uses = _choose([s for s in sizes if left[s] > 0], left, capacity - top)
+        uses = _choose(sizes, left, capacity - top, slack)
         left[top] += 1
         uses[top] = uses.get(top, 0) + 1
         times = min(left[s] // u for s, u in uses.items())
         for s, u in uses.items():
             left[s] -= u * times
         out.append((uses, times))
-        sizes = [s for s in sizes if left[s] > 0]
+        if not all(left[s] for s in uses):
+            sizes = [s for s in sizes if left[s] > 0]
     return out
 
 
-def best_fit_patterns(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The same by best fit in falling order, for containers of one content at a time: each length goes where it leaves least room."""
-    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for size in sorted((x for x, n in counts.items() if n > 0 and 0 < x <= capacity), reverse=True):
-        left = counts[size]
-        while left:
-            room = min((r for r in by_room if r >= size), default=None)
-            if room is None:
-                k = capacity // size
-                full, part = divmod(left, k)
-                for each, times in ((k, full), (part, 1)):
-                    if each and times:
-                        by_room.setdefault(capacity - each * size, []).append(((size,) * each, times))
-                break
-            content, times = by_room[room].pop()
-            used = min(times, left)
-            if used < times:
-                by_room[room].append((content, times - used))
-            if not by_room[room]:
-                del by_room[room]
-            by_room.setdefault(room - size, []).append(((*content, size), used))
-            left -= used
-    return [(dict(Counter(content)), times) for groups in by_room.values() for content, times in groups]
+def plan(spark: SparkSession, counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """The minimum-slack plan with the fewest containers among those of ``SLACKS``, which are made side by side, one a task.
+
+    Without any slack the short lengths are spent on early containers and the last ones stay half full; a little slack while
+    long lengths are left saves them. Which slack is best depends on the lengths only, so all are tried on all inputs.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["id"]:
+                made = minimum_slack_patterns(counts, capacity, int(capacity * SLACKS[k]))
+                yield pd.DataFrame({"k": [k], "n": [sum(t for _, t in made)], "plan": [pickle.dumps(made)]})
+
+    tried = spark.range(0, len(SLACKS), 1, len(SLACKS)).mapInPandas(run, "k bigint, n bigint, plan binary")
+    best = tried.orderBy("n", "k").first()
+    return pickle.loads(best.plan)
 
 
 def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame:
@@ -121,11 +156,12 @@ def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame
     Output: id, piece (from 0), first_token, tokens, container_id. An item is cut only if it is longer than a container:
     into full containers and one rest. One row per piece.
 
-    Method: minimum bin slack on the counts of pieces by length (at most ``capacity`` rows, whatever the data), by bitset
+    Method: minimum bin slack on the counts of pieces by length (at most ``MOST_LENGTHS`` rows, whatever the data), by bitset
     subset sums with the counts traced back; a pattern is used as often as its lengths last, so the plan doesn't grow with
-    the number of items. Where best fit on the same counts needs fewer containers, its plan is taken: on lengths that are large
-    against the capacity, minimum bin slack spends the short ones on early containers and the last ones stay half full. The pieces of a length are numbered without bringing them together (numbers within hashed chunks,
-    plus the chunks' running totals), and a number's place in the plan gives its container.
+    the number of items. Several allowed slacks are tried and the plan of the fewest containers is kept (``plan``). For a
+    capacity above ``MOST_LENGTHS`` the lengths are rounded up to a grid of capacity / ``MOST_LENGTHS`` tokens for the plan.
+    The pieces of a length are numbered without bringing them together (numbers within hashed chunks, plus the chunks'
+    running totals), and a number's place in the plan gives its container.
 
     Defined cases: an item of no tokens, or null, takes no room and gets one row with container_id null; ids may repeat
     (each row is an item of its own); a null id is kept. Empty input: no rows. Other columns are dropped.
@@ -137,34 +173,37 @@ def pack(lengths: DataFrame, id: str, n_tokens: str, capacity: int) -> DataFrame
     items = Stage(lengths.select(F.col(id).alias("id"), F.greatest(n, F.lit(0)).alias("n"), F.monotonically_increasing_id().alias("row"))).df
     cut = items.where("n > 0").select("id", "row", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {capacity}"))).alias("piece"))
     pieces = cut.select("id", "row", F.col("piece").cast("int").alias("piece"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity)).cast("int").alias("size"))
+    grid = -(-capacity // MOST_LENGTHS)
+    whole = capacity // grid
+    # a piece longer than all whole grid steps fills its container alone
+    pieces = pieces.withColumn("unit", F.least(F.expr(f"(size - 1) div {grid} + 1"), F.lit(whole)).cast("int"))
     total = int(pieces.count())
     chunks = max(16, total // 200_000)
     pieces = pieces.withColumn("chunk", F.pmod(F.xxhash64("row", "piece"), F.lit(chunks)).cast("int"))
-    cells = Stage(pieces.groupBy("size", "chunk").agg(F.count("*").alias("n"))).df
-    counts = {r.size_: int(r.n) for r in cells.groupBy(F.col("size").alias("size_")).agg(F.sum("n").alias("n")).collect()}
-    plan, base = [], 0
+    cells = Stage(pieces.groupBy("unit", "chunk").agg(F.count("*").alias("n"))).df
+    counts = {r.unit: int(r.n) for r in cells.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+    ranges, base = [], 0
     used: dict[int, int] = dict.fromkeys(counts, 0)
-    plans = [f(counts, capacity) for f in (minimum_slack_patterns, best_fit_patterns)]
-    for uses, times in min(plans, key=lambda p: sum(times for _, times in p)):
+    for uses, times in plan(lengths.sparkSession, counts, whole):
         for s, u in uses.items():
-            plan.append((s, used[s], u, base))
+            ranges.append((s, used[s], u, base))
             used[s] += u * times
         base += times
     # (length, first number of the range): sorted, so a piece finds its range by bisection
-    plan.sort()
-    p_size, p_from, p_uses, p_base = (np.array(x, np.int64) for x in (zip(*plan, strict=True) if plan else ((), (), (), ())))
-    key = p_size * (total + 1) + p_from
+    ranges.sort()
+    p_unit, p_from, p_uses, p_base = (np.array(x, np.int64) for x in (zip(*ranges, strict=True) if ranges else ((), (), (), ())))
+    key = p_unit * (total + 1) + p_from
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at = np.searchsorted(key, pdf["size"].to_numpy(np.int64) * (total + 1) + pdf["number"].to_numpy(np.int64), "right") - 1
+            at = np.searchsorted(key, pdf["unit"].to_numpy(np.int64) * (total + 1) + pdf["number"].to_numpy(np.int64), "right") - 1
             pdf["container_id"] = p_base[at] + (pdf["number"].to_numpy(np.int64) - p_from[at]) // p_uses[at]
             yield pdf[["id", "row", "piece", "size", "container_id"]]
 
-    running = F.sum("n").over(Window.partitionBy("size").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = cells.select("size", "chunk", F.coalesce(running, F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("size", "chunk").orderBy("row", "piece")) - 1
-    numbered = pieces.withColumn("within", within).join(offsets, ["size", "chunk"]).select("id", "row", "piece", "size", (F.col("within") + F.col("offset")).alias("number"))
+    running = F.sum("n").over(Window.partitionBy("unit").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cells.select("unit", "chunk", F.coalesce(running, F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy("unit", "chunk").orderBy("row", "piece")) - 1
+    numbered = pieces.withColumn("within", within).join(offsets, ["unit", "chunk"]).select("id", "row", "piece", "size", "unit", (F.col("within") + F.col("offset")).alias("number"))
     kind = items.schema["id"].dataType.simpleString()
 
     placed = numbered.withColumn("id", F.col("id").cast("string")).mapInPandas(place, "id string, row bigint, piece int, size int, container_id bigint")
@@ -184,3 +223,18 @@ def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
         "n_containers", "n_tokens", F.ceil(F.col("n_tokens") / capacity).alias("least_containers"),
         F.when(F.col("n_containers") > 0, 1 - F.col("n_tokens") / (F.col("n_containers") * capacity)).otherwise(0.0).alias("unused_share"),
     )
+
+
+def packing_faults(packed: DataFrame, lengths: DataFrame, id: str, n_tokens: str, capacity: int, most_extra: float = 0.015) -> DataFrame:
+    """One row that says whether a packing holds what it must: n_items, n_tokens and n_pieces placed; n_over (containers beyond
+    the capacity), n_wrong (items of which a token is missing or placed twice, or which are cut although they fit), and is_tight
+    (containers at most ``most_extra``, and one, above what the tokens need at least). Ids must be unique."""
+    there = packed.where("container_id is not null")
+    per = there.groupBy(id).agg(F.sum("tokens").alias("t"), F.count("*").alias("p"), F.countDistinct("first_token").alias("d"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    items = lengths.where(F.col(n_tokens) > 0).select(F.col(id), F.col(n_tokens).cast("bigint").alias("n"))
+    right = (F.col("t") == F.col("n")) & (F.col("p") == F.ceil(F.col("n") / capacity)) & (F.col("d") == F.col("p")) & (F.col("end") == F.col("n"))
+    wrong = items.join(per, id, "full").agg(F.count(F.when(~F.coalesce(right, F.lit(False)), 1)).alias("n_wrong"))
+    bins = there.groupBy("container_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("p"))
+    whole = bins.agg(F.count("*").alias("c"), F.coalesce(F.sum("t"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("p"), F.lit(0)).alias("n_pieces"), F.count(F.when(F.col("t") > capacity, 1)).alias("n_over"))
+    tight = F.col("c") <= F.ceil(F.ceil(F.col("n_tokens") / capacity) * (1 + most_extra)) + 1
+    return items.agg(F.count("*").alias("n_items")).join(F.broadcast(whole)).join(F.broadcast(wrong)).select("n_items", "n_tokens", "n_pieces", "n_over", "n_wrong", tight.alias("is_tight"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import components, cooccur, leaks, overlap, packing, pairs, subjects, topn
-from tidemark.session import read_table
+from tidemark.session import Stage, read_table
 
 
 def _user_item_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +106,12 @@ CAPACITY = 4096
 TOKENIZERS = "/opt/tokenizers"
 
 
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "documents").select("doc_id", packing.word_punct_tokens("text").alias("n_tokens"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    lengths = read_table(spark, d, "documents").select("doc_id", packing.word_punct_tokens("text").alias("n_tokens"))
-    return packing.pack(lengths, "doc_id", "n_tokens", CAPACITY)
+    return packing.pack(_lengths(spark, d), "doc_id", "n_tokens", CAPACITY)
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
@@ -119,6 +122,11 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), CAPACITY)
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What a packing must hold, counted from it."""
+    return packing.packing_faults(Stage(_packed(spark, d)).df, _lengths(spark, d), "doc_id", "n_tokens", CAPACITY)
+
+
 def p8_fill_bpe(spark: SparkSession, d: str, ranks: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
     """As p8_fill, in tokens of a public byte-pair tokenizer."""
     lengths = packing.bpe_tokens(read_table(spark, d, "documents"), "doc_id", "text", ranks)
@@ -162,7 +170,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_all_pairs, p7_surprise, p7_found,
-        p8_pack, p8_fill, p8_fill_bpe, p8_found, p9_found, p9_leaks, p10_found, p10_composition,
+        p8_pack, p8_fill, p8_check, p8_fill_bpe, p8_found, p9_found, p9_leaks, p10_found, p10_composition,
     )
 }
 
@@ -208,6 +216,8 @@ ORACLE = {
     "p7_pairs": _DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_all_pairs": _ALL_DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_found": _DAYS + "SELECT item_a, item_b FROM j WHERE n_ab * n_baskets >= 3 * n_a * n_b",
+    "p8_check": r"""SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(ceil(n / 4096)) AS BIGINT) AS n_pieces, CAST(0 AS BIGINT) AS n_over,
+  CAST(0 AS BIGINT) AS n_wrong, true AS is_tight FROM (SELECT len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) AS n FROM documents) WHERE n > 0""",
     "p8_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) > 4096",
     "p9_found": r"""WITH w AS (SELECT kind, id, word, row_number() OVER (PARTITION BY kind, id ORDER BY pos) AS pos FROM (
   SELECT kind, id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (
