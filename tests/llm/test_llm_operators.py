@@ -154,7 +154,10 @@ def slip(rng, t, n):
     return t
 
 
-def test_near_texts_lose_no_pair(spark):
+@pytest.mark.parametrize("hot", [0, 40, 2048])
+def test_near_texts_lose_no_pair(spark, monkeypatch, hot):
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "SLICE", 200)
     rng = random.Random(6)
     base = ["".join(rng.choice("aaabcd") for _ in range(rng.choice([0, 1, 3, 8, 10, 11, 12, 13, 14, 20, 40]))) for _ in range(120)] + ["aaaaaaaaaaaaaaaaaaaaaaaa"]
     texts = sorted({slip(rng, rng.choice(base), rng.randrange(4)) for _ in range(500)} | set(base))
@@ -179,9 +182,11 @@ def test_split_overlaps(spark):
         for t in full if split(t) == "train" for e in full if split(e) in ("test", "validation")
         if (near(t[1], e[1]) and near(t[2], e[2])) or (near(t[1], e[2]) and near(t[2], e[1]))
     }
-    got = overlap.split_overlaps(df, "id", "q1", "q2", "split").collect()
+    got = overlap.split_overlaps(df, "id", "q1", "q2", "split").record_pairs().collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and len(want) > 20
-    assert overlap.split_overlaps(df.limit(0), "id", "q1", "q2", "split").count() == 0
+    hits = overlap.split_overlaps(df, "id", "q1", "q2", "split").hit_records().collect()
+    assert {(r.record, r.split) for r in hits} == {(e, s) for _, e, s in want} and len(hits) == len({e for _, e, _ in want})
+    assert overlap.split_overlaps(df.limit(0), "id", "q1", "q2", "split").record_pairs().count() == 0
 
 
 # problem 7

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.pairs import split_name
 from tidemark.session import Stage, require_columns
 
-#: Characters in a shingle; cells in which the shingles' frequencies are kept (the bound of what is broadcast).
-SHINGLE, CELLS = 4, 1 << 18
+#: Characters in a shingle; cells in which the shingles' frequencies are kept (the bound of what is broadcast); occurrences
+#: beyond which a cell's shingles are keyed with letter parities too.
+SHINGLE, CELLS, HOT = 4, 1 << 18, 2048
+#: Characters of text looked at together.
+SLICE = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,16 +33,30 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _grams(text: str) -> np.ndarray:
-    """64-bit hashes of the shingles of a text, by position."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
-    n = len(c) - SHINGLE + 1
+def _letters(texts: Sequence[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about SLICE characters: first text, end, their code points one after the other, and where each begins."""
+    data = [t.encode("utf-32-le", "surrogatepass") for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(d) // 4 for d in data], dtype=np.int64)])
+    lo = 0
+    while lo < len(data):
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+        yield lo, hi, np.frombuffer(b"".join(data[lo:hi]), "<u4").astype(np.uint64), at[lo : hi + 1] - at[lo]
+        lo = hi
+
+
+def _grams(letters: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of several texts, with the text's number and the place in it, in order."""
+    sizes = np.diff(begin)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(letters)) - begin[text]
+    n = len(letters) - SHINGLE + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), text[:0], place[:0]
     h = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
-        h = h * _MULT + c[k : k + n] + np.uint64(1)
-    return _mix(h)
+        h = h * _MULT + letters[k : k + n] + np.uint64(1)
+    whole = np.flatnonzero(place[:n] + SHINGLE <= sizes[text[:n]])
+    return _mix(h[whole]), text[whole], place[whole]
 
 
 def _shortened(text: str, edits: int) -> set[str]:
@@ -55,9 +74,9 @@ def shingle_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(CELLS, np.int64)
         for pdf in batches:
-            hs = [_grams(t) for t in pdf["t"]]
-            if hs:
-                total += np.bincount((np.concatenate(hs) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            for _, _, letters, begin in _letters(pdf["t"]):
+                h, _, _ = _grams(letters, begin)
+                total += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"cell": at, "n": total[at]})
 
@@ -67,51 +86,84 @@ def shingle_frequencies(texts: DataFrame, text: str) -> np.ndarray:
     return out
 
 
-def _index(texts: DataFrame, freq: np.ndarray, edits: int) -> DataFrame:
-    """id, len, odd, key, pos: the rarest shingles of each text, and, for short texts, its shortened forms."""
+def _bit_groups(n: int) -> list[np.uint64]:
+    """64 bits in ``n`` groups of every n-th bit."""
+    return [np.uint64(sum(1 << b for b in range(k, 64, n))) for k in range(n)]
+
+
+def _bands(x: np.ndarray, edits: int, both: bool) -> list[np.ndarray]:
+    """Bands of 2 edits + 1 values that hold ``x``, or, if ``both``, all that hold a value at most ``edits`` away (two at most)."""
+    w = 2 * edits + 1
+    return [(x - edits) // w, (x + edits) // w] if both else [x // w]
+
+
+def _index(texts: DataFrame, freq: np.ndarray, edits: int, both: bool) -> DataFrame:
+    """id, len, odd, key, pos: the rarest shingles of each text, and, for short texts, its shortened forms.
+
+    The key holds the shingle and the bands of the text's length and the shingle's place; with ``both`` (the evaluation side)
+    a row for each band that is near enough, so that rows which meet are nearly as long and stand at nearly the same place.
+    The key of a shingle that many texts hold has the parities of one of 2 edits + 1 groups of letters as well, one row a
+    group: edits change 2 edits parities at most, so texts that are near agree in a group. Both sides go by the same
+    frequencies, so this loses nothing.
+    """
     prefix, short = SHINGLE * edits + 1, SHINGLE * edits + SHINGLE + edits - 1
     rank = np.argsort(np.argsort(freq, kind="stable"), kind="stable").astype(np.int32)
 
+    def of_slice(letters: np.ndarray, begin: np.ndarray, texts: Sequence[str]) -> tuple[np.ndarray, ...]:
+        sizes = np.diff(begin)
+        h, text, place = _grams(letters, begin)
+        order = np.lexsort((h, rank[(h % np.uint64(CELLS)).astype(np.int64)], text))
+        h, text, place = h[order], text[order], place[order]
+        n = np.bincount(text, minlength=len(sizes))
+        first = np.cumsum(n) - n
+        full = n >= prefix
+        end = h[np.where(full, first + prefix - 1, 0)] if len(h) else np.zeros(len(sizes), np.uint64)
+        # every place of the last shingle of the prefix belongs to the prefix
+        take = np.flatnonzero(full[text] & ((np.arange(len(h)) - first[text] < prefix) | (h == end[text])))
+        at, key, pos = text[take], h[take], place[take]
+        hot = np.flatnonzero(freq[(key % np.uint64(CELLS)).astype(np.int64)] > HOT)
+        odd = _odd_letters(letters, begin).view(np.uint64)[at[hot]]
+        keys, ats, poss = [], [], []
+        for lb in _bands(sizes[at], edits, both):
+            for pb in _bands(pos, edits, both):
+                banded = _mix(key ^ _mix((lb.astype(np.uint64) << np.uint64(32)) + pb.astype(np.uint64) + np.uint64(1)))
+                for k, letters_of in enumerate(_bit_groups(2 * edits + 1)):
+                    refined = _mix(banded[hot] ^ _mix((odd & letters_of) * _MULT + np.uint64(k)))
+                    if k:
+                        keys.append(refined)
+                        ats.append(at[hot])
+                        poss.append(pos[hot])
+                    else:
+                        first_key = banded.copy()
+                        first_key[hot] = refined
+                        keys.append(first_key)
+                        ats.append(at)
+                        poss.append(pos)
+        for k in np.flatnonzero(sizes <= short):
+            forms = np.array([xxhash.xxh64_intdigest(f.encode("utf-8", "surrogatepass")) for f in _shortened(texts[k], edits)], np.uint64)
+            keys.append(forms)
+            ats.append(np.full(len(forms), k))
+            poss.append(np.zeros(len(forms), np.int64))
+        return np.concatenate(ats), np.concatenate(keys), np.concatenate(poss)
+
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, lens, odds, keys, poss = [], [], [], [], []
-            for i, t in zip(pdf["id"].to_numpy(), pdf["t"], strict=True):
-                h, odd = _grams(t), _odd_letters(t)
-                if len(h) >= prefix:
-                    r = rank[(h % np.uint64(CELLS)).astype(np.int64)]
-                    order = np.lexsort((h, r))
-                    # every place of the last shingle of the prefix belongs to the prefix
-                    end = order[prefix - 1]
-                    take = order[: prefix - 1 + np.searchsorted(np.cumsum(h[order[prefix - 1 :]] != h[end]), 1)]
-                    keys.append(h[take].view(np.int64))
-                    poss.append(take.astype(np.int32))
-                    ids.append(np.full(len(take), i))
-                    lens.append(np.full(len(take), len(t), np.int32))
-                    odds.append(np.full(len(take), odd))
-                if len(t) <= short:
-                    forms = np.array([_form_key(s) for s in _shortened(t, edits)], np.uint64)
-                    keys.append(forms.view(np.int64))
-                    poss.append(np.zeros(len(forms), np.int32))
-                    ids.append(np.full(len(forms), i))
-                    lens.append(np.full(len(forms), len(t), np.int32))
-                    odds.append(np.full(len(forms), odd))
-            if ids:
-                yield pd.DataFrame({"id": np.concatenate(ids), "len": np.concatenate(lens), "odd": np.concatenate(odds), "key": np.concatenate(keys), "pos": np.concatenate(poss)})
-
-    return texts.select("id", "t").mapInPandas(entries, "id bigint, len int, odd bigint, key bigint, pos int").distinct()
-
-
-def _odd_letters(text: str) -> np.int64:
-    """64 bits: which of 64 classes of characters stand in the text an odd number of times. An edit changes two bits at most."""
-    c = np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4") % 64, minlength=64) & 1
-    return np.packbits(c.astype(np.uint8)).view(">i8")[0].astype(np.int64)
-
-
-def _form_key(s: str) -> int:
-    h = 0xCBF29CE484222325
-    for ch in s:
-        h = ((h ^ ord(ch)) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+            ids, texts = pdf["id"].to_numpy(), pdf["t"].tolist()
+            for lo, hi, letters, begin in _letters(texts):
+                at, key, pos = of_slice(letters, begin, texts[lo:hi])
+                odd, sizes = _odd_letters(letters, begin), np.diff(begin)
+                out = pd.DataFrame({"id": ids[lo:hi][at], "len": sizes[at].astype(np.int32), "odd": odd[at], "key": key.view(np.int64), "pos": pos.astype(np.int32)})
+                yield out.drop_duplicates()
+
+    return texts.select("id", "t").mapInPandas(entries, "id bigint, len int, odd bigint, key bigint, pos int")
+
+
+def _odd_letters(letters: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64 bits of each text: which of 64 classes of characters stand in it an odd number of times. An edit changes two bits at most."""
+    n = len(begin) - 1
+    text = np.repeat(np.arange(n), np.diff(begin))
+    odd = np.bincount(text * 64 + (letters % np.uint64(64)).astype(np.int64), minlength=64 * n) & 1
+    return np.packbits(odd.astype(np.uint8)).view(">i8").astype(np.int64)
 
 
 def near_text_pairs(texts: DataFrame, edits: int = 2) -> DataFrame:
@@ -122,15 +174,16 @@ def near_text_pairs(texts: DataFrame, edits: int = 2) -> DataFrame:
     Method: an exact prefix filter. The shingles of a text (of ``SHINGLE`` characters) are put in one global order, rare ones
     first; two texts within ``edits`` share one of their first SHINGLE * edits + 1 shingles, at places at most ``edits``
     apart, and differ as little in length. The prefixes of the evaluation texts are the index, those of the training texts
-    probe it; the candidates that pass the place and length filters, and differ in few letters' parities (two per edit at most), are verified
-    by their edit distance. Texts too short for
-    a full prefix meet through their forms with up to ``edits`` characters deleted, which is exact as well. The order rests
-    on frequencies over all texts, kept in a fixed number of hash cells.
+    probe it. Bands of the place and of the length are part of the join's key, so that a shingle that many texts share meets
+    only texts of like length at like places; what differs in few letters' parities as well (two per edit at most) is verified
+    by its edit distance. Texts too short for a full prefix meet through their forms with up to ``edits`` characters deleted,
+    which is exact as well. The order rests on frequencies over all texts, kept in a fixed number of hash cells. A key may
+    repeat on both sides of the join; Spark's skew join may split both, as the join is an inner one.
     """
     base = Stage(texts.select("id", "t", "in_train", "in_eval").where("t is not null"))
     freq = shingle_frequencies(base.df, "t")
-    train = _index(base.df.where("in_train"), freq, edits)
-    held = _index(base.df.where("in_eval"), freq, edits).select(F.col("id").alias("eid"), F.col("len").alias("elen"), F.col("odd").alias("eodd"), "key", F.col("pos").alias("epos"))
+    train = _index(base.df.where("in_train"), freq, edits, False)
+    held = _index(base.df.where("in_eval"), freq, edits, True).select(F.col("id").alias("eid"), F.col("len").alias("elen"), F.col("odd").alias("eodd"), "key", F.col("pos").alias("epos"))
     near = (F.abs(F.col("len") - F.col("elen")) <= edits) & (F.abs(F.col("pos") - F.col("epos")) <= edits)
     near = near & (F.bit_count(F.col("odd").bitwiseXOR(F.col("eodd"))) <= 2 * edits)
     cand = train.join(held, "key").where(near).select(F.col("id").alias("train_id"), F.col("eid").alias("eval_id")).distinct()
@@ -139,14 +192,37 @@ def near_text_pairs(texts: DataFrame, edits: int = 2) -> DataFrame:
     return both.where(F.levenshtein("a", "b", edits) >= 0).select("train_id", "eval_id")
 
 
-def split_overlaps(df: DataFrame, record: str, a: str, b: str, split: str, edits: int = 2, train: str = "train", held: tuple[str, ...] = ("validation", "test")) -> DataFrame:
-    """Records of the held-out splits whose two texts also stand, equally or almost, in a training record.
+@dataclass
+class Overlaps:
+    """Overlaps by class: a class is a different pair of texts, named by its two text ids (the smaller first).
+
+    ``classes``: u, v (a held-out class) and x, y (a training class that is equal or almost so), each once. ``held``: record,
+    split, u, v. ``train``: record, x, y. So copies of a record are members of its class and no pairs of records are made.
+    """
+
+    classes: DataFrame
+    held: DataFrame
+    train: DataFrame
+
+    def hit_records(self) -> DataFrame:
+        """Held-out records with a partner: record, split, n_classes (training classes near it)."""
+        n = self.classes.groupBy("u", "v").agg(F.count("*").alias("n_classes"))
+        return self.held.join(n, ["u", "v"]).select("record", "split", "n_classes")
+
+    def record_pairs(self) -> DataFrame:
+        """Every held-out record with every partner: train_record, eval_record, eval_split. As many rows as there are such pairs."""
+        t = self.train.withColumnRenamed("record", "train_record")
+        h = self.held.select(F.col("record").alias("eval_record"), F.col("split").alias("eval_split"), "u", "v")
+        return self.classes.join(h, ["u", "v"]).join(t, ["x", "y"]).select("train_record", "eval_record", "eval_split")
+
 
-    Output: train_record, eval_record, eval_split; the texts match pairwise, in the same or the crossed order.
+def split_overlaps(df: DataFrame, record: str, a: str, b: str, split: str, edits: int = 2, train: str = "train", held: tuple[str, ...] = ("validation", "test")) -> Overlaps:
+    """Records of the held-out splits whose two texts also stand, equally or almost, in a training record: the texts match
+    pairwise, in the same or the crossed order.
 
     The near-same texts come from ``near_text_pairs`` over the different texts; each different pair of texts of the held-out
     splits is then spelled in all near-same ways and looked up among the different pairs of the training split. Records are
-    attached last, so copies are never compared with each other.
+    members of these classes, so copies are never compared with each other.
 
     Defined cases: a record with a null text or without a split takes no part; texts that are empty after dropping all but
     letters and digits are equal to each other; repeated records count once. Empty input: no rows.
@@ -175,5 +251,5 @@ def split_overlaps(df: DataFrame, record: str, a: str, b: str, split: str, edits
     )
     there = tr.select(F.col("u").alias("x"), F.col("v").alias("y")).distinct()
     classes = spelled.join(there, ["x", "y"], "left_semi")
-    out = classes.join(ev, ["u", "v"]).join(tr.select(F.col("u").alias("x"), F.col("v").alias("y"), F.col("r").alias("tr")), ["x", "y"])
-    return out.select(F.col("tr").alias("train_record"), F.col("r").alias("eval_record"), F.col("s").alias("eval_split"))
+    train_rows = tr.select(F.col("r").alias("record"), F.col("u").alias("x"), F.col("v").alias("y"))
+    return Overlaps(Stage(classes).df, ev.select(F.col("r").alias("record"), F.col("s").alias("split"), "u", "v"), train_rows)

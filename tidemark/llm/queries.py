@@ -29,18 +29,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_top_items(spark, d).select("user_id", "item_id")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _overlaps(spark: SparkSession, d: str) -> overlap.Overlaps:
     return overlap.split_overlaps(read_table(spark, d, "question_pairs"), "pair_id", "question1", "question2", "split")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    o = _overlaps(spark, d)
+    o = _overlaps(spark, d).record_pairs()
     return o.select(F.least("train_record", "eval_record").alias("pair_id_a"), F.greatest("train_record", "eval_record").alias("pair_id_b")).distinct()
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out records with a training partner, per split and source."""
-    hit = _overlaps(spark, d).select(F.col("eval_record").alias("pair_id"), F.col("eval_split").alias("split")).distinct()
+    """Held-out records with a training partner, per split and source; from the classes, no pair of records is made."""
+    hit = _overlaps(spark, d).hit_records().select(F.col("record").alias("pair_id"), "split")
     source = read_table(spark, d, "question_pairs").select("pair_id", "source")
     return hit.join(source, "pair_id").groupBy("split", "source").agg(F.countDistinct("pair_id").alias("n_records"))
 
