@@ -346,7 +346,8 @@ def corpus(seed):
     return items, docs
 
 
-def test_leaks_are_all_found(spark):
+@pytest.mark.parametrize("bits", [27, 12])
+def test_leaks_are_all_found(spark, monkeypatch, bits):
     items, docs = corpus(13)
     texts = [(k, ", ".join(w.upper() if k % 2 else w for w in d)) for k, d in enumerate(docs)] + [(900, None), (901, ""), (None, " ".join(items[1]))]
     texts += [(902, "filler " * 400_000 + " ".join(items[3]) + " filler" * 10)] if len(items[3]) >= 13 else []
@@ -354,8 +355,12 @@ def test_leaks_are_all_found(spark):
     held = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(99, None)], "id bigint, t string")
     grams = lambda d: {tuple(d[i : i + 13]) for i in range(len(d) - 12)}
     want = {(k, j) for k, t in texts if t and k is not None for j, i in enumerate(items) if grams(words_of(t)) & grams(i)}
-    got = {(r.id, r.held_id) for r in leaks.leaked_windows(df, "id", "t", held, "id", "t").where("edits = 0").collect()}
-    assert got == want and len(want) > 10
+    # several passes over the corpus, filters of bounded size
+    monkeypatch.setattr(leaks, "MOST_BITS", bits)
+    found = leaks.leaked_windows(df, "id", "t", held, "id", "t").where("edits = 0").collect()
+    assert {(r.id, r.held_id) for r in found if r.n_words == 13} == want and len(want) > 10
+    short = {(k, j) for k, t in texts if t and k is not None for j, i in enumerate(items) if 5 <= len(i) < 13 and f" {' '.join(i)} " in f" {' '.join(words_of(t))} "}
+    assert {(r.id, r.held_id) for r in found if r.n_words < 13} == short and short
     assert leaks.leaked_windows(df.limit(0), "id", "t", held, "id", "t").count() == 0
     assert leaks.leaked_windows(df, "id", "t", held.limit(0), "id", "t").count() == 0
 
@@ -382,15 +387,22 @@ def test_word_edits():
     assert leaks.word_edits(a, b).tolist() == want
 
 
-def test_filters_have_a_fixed_size():
-    cells = tuple(np.zeros(1 << leaks.FILTER_BITS >> 3, np.uint8) for _ in range(2))
-    keys = np.random.default_rng(0).integers(0, 1 << 63, 100_000).astype(np.uint64)
-    for c, at in zip(cells, leaks._cells_of(keys[:1000]), strict=True):
-        np.bitwise_or.at(c, at >> 3, (1 << (at & 7)).astype(np.uint8))
+def test_filters(spark):
+    keys = np.random.default_rng(0).integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)
+    index = spark.createDataFrame([(int(k),) for k in keys[:1000].view(np.int64)], "key bigint").repartition(5)
+    cells = leaks._filters(index, leaks._bits(1000))
+    assert len(cells[0]) == len(cells[1]) == 1 << 16 >> 3
     assert leaks._passes(cells, keys[:1000]).all() and leaks._passes(cells, keys[1000:]).mean() < 0.001
+    assert leaks._bits(10**12) == leaks.MOST_BITS and leaks._bits(0) == 16
     assert pa.array(["a"]).cast(pa.large_binary())[0].as_buffer().to_pybytes() == b"a"
 
 
+def test_a_recall_out_of_reach_is_an_error():
+    assert leaks.walks_for(13, 2, 0.8).tables >= leaks.walks_for(13, 1, 0.8).tables
+    with pytest.raises(ValueError, match="less recall"):
+        leaks.walks_for(13, 5, 0.99)
+
+
 def test_two_texts_of_one_held_out_id_both_leak(spark):
     old, new = (" ".join(f"{k}{i}" for i in range(20)) for k in ("old", "new"))
     corpus = spark.createDataFrame([(1, f"so {old} it"), (2, f"so {new} it")], "doc_id bigint, text string")

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.skew import split_hot_join
 from tidemark.session import Stage, require_columns
 
-#: Items in a tile side; items up to which the item numbers are broadcast; steps of -ln p in which discoveries are counted.
-TILE, MOST_BROADCAST, P_STEP = 1500, 500_000, 1 / 64
+#: Items in a tile side; items up to which the item numbers are broadcast; steps of -ln p in which discoveries are counted;
+#: rows of a pair of tiles that are counted together.
+TILE, MOST_BROADCAST, P_STEP, ROWS = 1500, 500_000, 1 / 64, 200_000
 
 
 def _bins(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,8 @@ def co_occurrence(df: DataFrame, basket: Sequence[str], item: str, min_count: in
     below), ln_p (of n_ab or more), significant (at false-discovery rate ``alpha``).
 
     Method. Baskets are reduced to their different items. An item in fewer baskets than a pair must have cannot be in a
-    pair, so only the others are numbered, in tiles of a bounded side. Each task counts the pairs of its baskets in a tile's
+    pair, so only the others are numbered, in tiles of a bounded side. A basket's items are gathered by tile, and each such piece is
+    sent to the pairs of tiles that it is part of. Each task counts the pairs of its baskets in a tile's
     matrix, so pairs are added up before anything is shuffled and no list of pairs is ever emitted. The null is the bipartite
     configuration model fitted to the items' frequencies and the basket sizes (by classes of like degree); the surprise is
     the upper tail of the Poisson-binomial count under it, by saddlepoint (an exact sum over billions of baskets isn't
@@ -156,14 +158,17 @@ def co_occurrence(df: DataFrame, basket: Sequence[str], item: str, min_count: in
     numbered = Stage(numbered).df
     names = numbered.select("item", "tile", "place")
     kept = entries.join(F.broadcast(names), "item") if n_frequent <= MOST_BROADCAST else split_hot_join(entries, names, "item", "inner")
-    pieces = kept.groupBy(*b, "tile").agg(F.collect_list("place").alias("a"))
-    if tiles == 1:
-        work = pieces.where(F.size("a") > 1).select(F.col("tile").alias("ta"), F.col("tile").alias("tb"), "a", F.slice("a", 1, 1).alias("b"))
-    else:
-        pieces = Stage(pieces).df
-        other = pieces.select(*b, F.col("tile").alias("tb"), F.col("a").alias("b"))
-        pairs = pieces.withColumnRenamed("tile", "ta").join(other, b).where("ta <= tb").where("ta < tb or size(a) > 1")
-        work = pairs.withColumn("salt", F.pmod(F.xxhash64(*b), F.lit(16))).repartition("ta", "tb", "salt").sortWithinPartitions("ta", "tb").select("ta", "tb", "a", "b")
+    pieces = Stage(kept.groupBy(*b, "tile").agg(F.collect_list("place").alias("a"))).df
+    # every piece goes to the pairs of its tile with the basket's tiles, row by row: the pieces of a large basket never stand
+    # in one task, and meet again by (basket, pair of tiles)
+    tiles_of = pieces.groupBy(*b).agg(F.collect_set("tile").alias("ts"))
+    sent = pieces.join(tiles_of, b).select(*b, "tile", "a", F.explode("ts").alias("other"))
+    sent = sent.select(*b, F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "a")
+    met = sent.groupBy(*b, "ta", "tb").agg(F.max(F.when(F.col("tile") == F.col("ta"), F.col("a"))).alias("a"), F.max(F.when(F.col("tile") == F.col("tb"), F.col("a"))).alias("b"))
+    work = met.where("ta < tb or size(a) > 1")
+    # a pair of tiles has at most one row per basket, so this bounds the rows that a task counts together
+    salts = -(-n_baskets // ROWS) or 1
+    work = work.withColumn("salt", F.pmod(F.xxhash64(*b), F.lit(salts))).repartition("ta", "tb", "salt").sortWithinPartitions("ta", "tb").select("ta", "tb", "a", "b")
     counts = (
         work.mapInPandas(_count_tiles, "ta int, ia int, tb int, ib int, n bigint")
         .groupBy("ta", "ia", "tb", "ib").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

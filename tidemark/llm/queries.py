@@ -143,7 +143,7 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d).where("edits = 0").select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).where("edits = 0 and n_words = 13").select("doc_id", "item_id").distinct()
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -151,6 +151,16 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy("doc_id", "item_id").agg(F.min("edits").alias("least_edits"), F.countDistinct("held_pos").alias("n_windows"))
 
 
+def p9_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Each window of each item, with a word replaced, put in or dropped, planted in a text of its own: whether at least nine in
+    ten are found, and only in texts of the item's (items may share words)."""
+    items = read_table(spark, d, "eval_items")
+    texts = Stage(leaks.planted(items, "item_id", "text")).df
+    hits = leaks.leaked_windows(texts, "doc_id", "text", items, "item_id", "text").where("edits <= 1").select("doc_id", "item_id").distinct().withColumn("hit", F.lit(True))
+    t = texts.join(hits, ["doc_id", "item_id"], "left").agg(F.count("*").alias("n_planted"), F.count("hit").alias("n"))
+    return t.select("n_planted", (F.col("n") >= F.col("n_planted") * 0.9).alias("recall_is_reached"))
+
+
 def _subjects(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
     codes = sorted(r.subject for r in read_table(spark, d, "subjects").select("subject").where("subject is not null").distinct().limit(subjects.MOST_SUBJECTS + 1).collect())
     labels = labels if labels is not None else read_table(spark, d, "subject_labels")
@@ -182,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_all_pairs, p7_surprise, p7_found,
-        p8_pack, p8_fill, p8_check, p8_fill_bpe, p8_found, p9_found, p9_leaks, p10_found, p10_withheld, p10_composition,
+        p8_pack, p8_fill, p8_check, p8_fill_bpe, p8_found, p9_found, p9_leaks, p9_recall, p10_found, p10_withheld, p10_composition,
     )
 }
 
@@ -231,6 +241,8 @@ ORACLE = {
     "p8_check": r"""SELECT count(*) AS n_items, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(ceil(n / 4096)) AS BIGINT) AS n_pieces, CAST(0 AS BIGINT) AS n_over,
   CAST(0 AS BIGINT) AS n_wrong, true AS is_tight FROM (SELECT len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) AS n FROM documents) WHERE n > 0""",
     "p8_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) > 4096",
+    "p9_recall": r"""SELECT CAST(sum(n - 12) AS BIGINT) AS n_planted, true AS recall_is_reached FROM (
+  SELECT len(regexp_extract_all(lower(regexp_replace(text, '\\[A-Za-z]+', '', 'g')), '[a-z0-9]+')) AS n FROM eval_items WHERE text IS NOT NULL) WHERE n >= 13""",
     "p10_withheld": """SELECT count(*) AS n_labels, true AS recall_is_good, true AS precision_is_good FROM (SELECT DISTINCT doc_id, lower(trim(subject)) AS subject
   FROM subject_labels WHERE doc_id % 2 = 1 AND subject IS NOT NULL)""",
     "p9_found": r"""WITH w AS (SELECT kind, id, word, row_number() OVER (PARTITION BY kind, id ORDER BY pos) AS pos FROM (

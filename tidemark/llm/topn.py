@@ -25,10 +25,10 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, most_heavy:
 
     Method: the scores of every group are counted in a histogram (partial counts before the shuffle). The lowest cell that
     is needed for ``n`` rows, counted from the top, is a safe threshold: at least ``n`` rows of the group reach it, and no
-    row below it can rank. The thresholds of heavy groups are broadcast and drop the rows below them before any row is
-    shuffled by group. A group is heavy if it has more than 1/``most_heavy`` of all rows, so by counting there are fewer
-    than ``most_heavy`` of them and the broadcast is bounded, whatever the data. In the other groups the histogram has
-    nothing to save: they are ranked whole. The ranking keeps ``n`` rows per group in each task before its shuffle, which
+    row below it can rank. Rows below their group's threshold are dropped and the rest is ranked. The thresholds of heavy
+    groups (more than 1/``most_heavy`` of all rows, so by counting fewer than ``most_heavy`` of them) are broadcast and drop
+    rows before any is shuffled by group; those of the other groups are joined by group, and the ranking goes on from there
+    without another shuffle. The ranking of heavy groups keeps ``n`` rows per group in each task before its shuffle, which
     also covers a heavy group whose rows nearly all tie.
 
     Defined cases: null and repeated (group, item) rows are ranked like any other, the null group is a group; a null score
@@ -46,16 +46,13 @@ def top_n(df: DataFrame, group: str, item: str, score: str, n: int, most_heavy:
     down = hist.select(
         "g", "cell", F.sum("c").over(w.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)).alias("above"), F.sum("c").over(w).alias("size")
     )
-    heavy = (
-        down.where((F.col("size") * most_heavy > total) & (F.col("above") >= n))
-        .groupBy("g")
-        .agg(F.max("cell").alias("least"))
-    )
-    kept = (
-        rows.join(F.broadcast(heavy.withColumnRenamed("g", "hg")), F.col("g").eqNullSafe(F.col("hg")), "left")
-        .where(F.col("least").isNull() | (F.col("cell") >= F.col("least")))
-        .select("g", "i", "s")
-    )
+    # null for a group of fewer than n rows, which keeps all
+    least = Stage(down.groupBy("g").agg(F.max(F.when(F.col("above") >= n, F.col("cell"))).alias("least"), F.max("size").alias("size"))).df
+    heavy = least.where(F.col("size") * most_heavy > total).select(F.col("g").alias("hg"), "least", F.lit(True).alias("is_heavy"))
+    marked = rows.join(F.broadcast(heavy), F.col("g").eqNullSafe(F.col("hg")), "left")
+    reach = F.col("least").isNull() | (F.col("cell") >= F.col("least"))
     order = Window.partitionBy("g").orderBy(F.desc_nulls_last("s"), F.asc_nulls_last("i"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    rank = lambda kept: kept.where(reach).select("g", "i", "s").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    light = marked.where("is_heavy is null").select("g", "i", "s", "cell")
+    ranked = rank(marked.where("is_heavy")).unionByName(rank(light.join(least.select("g", "least"), "g", "left")))
     return ranked.select(F.col("g").alias(group), F.col("i").alias(item), F.col("s").alias(score), "rank")
