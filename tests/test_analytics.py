@@ -331,8 +331,39 @@ def test_generators(spark):
     assert q.where("(is_duplicate = 1) <> (cluster1 = cluster2)").count() == 0
     plays, items = generators.interactions(spark, generators.PlayConfig(200, 300, 20))
     assert plays.count() == plays.select("user_id", "item_id").distinct().count() and abs(items.agg(F.sum("popularity")).first()[0] - 1) < 1e-9
+    assert plays.groupBy("user_id").count().agg(F.min("count")).first()[0] >= 8 and plays.select("user_id").distinct().count() == 200
+    assert plays.exceptAll(generators.interactions(spark, generators.PlayConfig(200, 300, 20))[0].repartition(3)).count() == 0
     with pytest.raises(ValueError):
         generators.PairConfig(0)
+    with pytest.raises(ValueError):
+        generators.PlayConfig(min_plays=2)
+
+
+def test_weighted_sample_is_that_of_draws_one_after_the_other():
+    rng, p = np.random.default_rng(5), np.array([0.5, 0.3, 0.2])
+    pairs = [frozenset(generators.weighted_sample(rng, p, 2).tolist()) for _ in range(20_000)]
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        want = p[a] * p[b] / (1 - p[a]) + p[b] * p[a] / (1 - p[b])
+        assert pairs.count(frozenset((a, b))) / 20_000 == pytest.approx(want, abs=0.012)
+    assert sorted(generators.weighted_sample(rng, p, 9)) == [0, 1, 2]
+
+
+def test_sales_are_negative_binomial(spark):
+    df = spark.range(4000).select(generators.negative_binomial(F.col("id"), F.lit(20.0), 6.0, 3).alias("n"))
+    mean, var = df.agg(F.avg("n"), F.variance("n")).first()
+    assert mean == pytest.approx(20, abs=0.6) and var == pytest.approx(20 + 400 / 6, rel=0.12)
+    panel = generators.sales(spark, generators.SalesConfig(20, 200))
+    assert abs(panel.agg(F.avg(F.col("on_promo").cast("int"))).first()[0] - 0.12) < 0.03
+    assert panel.where("on_promo").agg(F.max(F.col("price") / F.col("base_price"))).first()[0] < 0.93
+    with pytest.raises(ValueError):
+        generators.SalesConfig(elasticity=0.1)
+
+
+def test_slips_have_their_rate(spark):
+    q = generators.question_pairs(spark, generators.PairConfig(4000, 200, typo_rate=0.0))
+    t = generators.question_pairs(spark, generators.PairConfig(4000, 200))
+    changed = q.select("pair_id", F.col("question1").alias("was")).join(t, "pair_id").where("was <> question1").count()
+    assert abs(changed / 4000 - 0.06) < 0.02
 
 
 def test_models_beat_chance(spark):
@@ -352,8 +383,13 @@ def test_scalar_functions(spark):
     assert [r[0] for r in df.select(scalar.bin_of(F.col("x"), [1.0, 2.0])).collect()] == [0, 1, None, 2]
     assert df.select(scalar.display_label(F.lit("same_day"), {"a": "B"})).first()[0] == "Same Day"
     assert df.select(scalar.display_label(F.lit("a"), {"a": "B"})).first()[0] == "B"
-    got = [df.select(scalar.corrupt(F.lit("Ab cd"), F.lit(k), F.lit(2))).first()[0] for k in range(4)]
-    assert got == ["A cd", "Ab  cd", "ab cd", "Ab cd"]
+    got = [df.select(scalar.corrupt(F.lit("Ab cd efg hijk"), F.lit(k), F.lit(2))).first()[0] for k in range(4)]
+    assert got == ["A cd efg hijk", "Ab  cd efg hijk", "ab cd efg hijk", "Ab cd efg hijk"]
+    assert df.select(scalar.corrupt(F.lit("Ab cd"), F.lit(0), F.lit(2))).first()[0] == "ab cd"
+    days = ["2023-01-01", "2023-12-25", "2023-12-24", "2023-12-23", "2023-12-14", "2023-12-13", "2023-07-01", "2023-07-04", "2023-07-05"]
+    lifts = spark.createDataFrame([(d,) for d in days], "d string").select(scalar.holiday_lift(F.col("d").cast("date"), generators.HOLIDAYS))
+    want = [0.55, 0.30, 1.95, 1 + 0.95 * 10 / 11, 1 + 0.95 / 11, 1.0, 1 + 0.35 / 4, 1.35, 1.0]
+    assert [r[0] for r in lifts.collect()] == pytest.approx(want)
 
 
 def test_sinks(spark, tmp_path):

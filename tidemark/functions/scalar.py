@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Sequence
 
@@ -47,17 +48,21 @@ def display_label(name: Column, known: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), name), plain)
 
 
-def holiday_lift(month: Column, day: Column, table: Sequence[tuple[int, int, float]], lead: int = 7) -> Column:
-    """Multiplier of demand around holidays: the holiday's own on its day, rising linearly over ``lead`` days before it, else 1."""
-    doy = lambda m, d: (F.lit(0) + F.element_at(F.array(*(F.lit(x) for x in (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334))), m.cast("int"))) + d
-    here, out = doy(month, day), F.lit(1.0)
-    for m, d, lift in table:
-        gap = doy(F.lit(m), F.lit(d)) - here
-        out = F.greatest(out, F.when((gap >= 0) & (gap <= lead), 1 + (lift - 1) * (1 - gap / (lead + 1))).otherwise(1.0))
+def holiday_lift(date: Column, table: Sequence[tuple[int, int, float, int]]) -> Column:
+    """Multiplier of demand around holidays (month, day, lift, lead): the product of the holidays' own. A holiday's is its lift on
+    its day, and rises (or falls) linearly towards it over ``lead`` days before, not below 0.2. Days are counted within the year."""
+    out = F.lit(1.0)
+    for month, day, lift, lead in table:
+        gap = dt.date(2021, month, day).timetuple().tm_yday - F.dayofyear(date)
+        ramp = F.greatest(1 + (lift - 1) * (lead + 1 - gap) / (lead + 1), F.lit(0.2))
+        here = (F.month(date) == month) & (F.dayofmonth(date) == day)
+        out = out * F.when(here, lift).otherwise(1.0) * F.when((gap > 0) & (gap <= lead), ramp).otherwise(1.0)
     return out
 
 
 def corrupt(text: Column, kind: Column, at: Column) -> Column:
-    """A slip in a text: 0 drops the character at ``at``, 1 doubles the first blank, 2 lower-cases, else unchanged."""
+    """A slip in a text: 0 drops the character at ``at`` (texts of up to 12 characters are lower-cased instead), 1 doubles the
+    first blank, 2 lower-cases, else unchanged."""
     dropped = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(text)))
-    return F.when(kind == 0, dropped).when(kind == 1, F.regexp_replace(text, "^([^ ]*) ", "$1  ")).when(kind == 2, F.lower(text)).otherwise(text)
+    long = F.length(text) > 12
+    return F.when((kind == 0) & long, dropped).when(kind == 1, F.regexp_replace(text, "^([^ ]*) ", "$1  ")).when(kind.isin(0, 2), F.lower(text)).otherwise(text)

@@ -13,8 +13,8 @@ from tidemark.operators.recommend import masked_top_k
 from tidemark.session import Stage, require_columns
 
 #: Factor values up to which one side is broadcast; rows up to which an id's rows are brought together rather than their sums;
-#: rows of an id in one partition of the ratings; ids whose sums a task holds at once.
-MOST_BROADCAST, LIGHT, MOST_ROWS, MOST_OPEN = 2_000_000, 400, 100_000, 4000
+#: rows of an id in one partition of the ratings; ids whose sums a task holds at once; users that are scored together.
+MOST_BROADCAST, LIGHT, MOST_ROWS, MOST_OPEN, MOST_USERS = 2_000_000, 400, 100_000, 4000, 20_000
 
 
 def _init(ids: DataFrame, factors: int, seed: int, scale: float = 0.01) -> DataFrame:
@@ -197,7 +197,9 @@ def als_top_k(users: DataFrame, items: DataFrame, seen: DataFrame, k: int, block
                 out.append(pd.DataFrame({"user_id": part["user_id"].to_numpy()[row], "item_id": ids[top], "score": s[row, top]}))
         return pd.concat(out) if out else pd.DataFrame({"user_id": [], "item_id": [], "score": []})
 
-    salted = work.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(16)))
-    many = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))))
+    # so many users of a task stand against a block at once, however many there are
+    salts = F.lit(-(-users.count() // MOST_USERS) or 1)
+    salted = work.withColumn("salt", F.pmod(F.xxhash64("user_id"), salts))
+    many = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts.cast("bigint") - 1)))
     scores = salted.groupBy("b", "salt").cogroup(many.groupBy("b", "salt")).applyInPandas(cogroup, "user_id bigint, item_id bigint, score double")
     return masked_top_k(scores, seen, k)

@@ -9,7 +9,7 @@ from tidemark.functions.scalar import cyclic
 from tidemark.operators.order import exact_quantiles
 from tidemark.session import Stage, micros, require_columns
 
-#: Minutes that stand for "no earlier event", night hours.
+#: Minutes that stand for "no earlier event", night hours, the names of the features in their order.
 NO_PRIOR_MINUTES = 525_600.0
 NIGHT_HOURS = (23, 0, 1, 2, 3, 4)
 _HOUR_US, _DAY_US = 3_600_000_000, 86_400_000_000

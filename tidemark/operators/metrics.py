@@ -90,10 +90,10 @@ def worst_errors(df: DataFrame, id: str, label: str, score: str, n: int) -> Data
 
 
 def by_negative_kind(df: DataFrame, label: str, score: str, kind: str, kinds: Sequence[str]) -> DataFrame:
-    """ranking_metrics for each kind of negatives, over all positives and the negatives of that kind."""
-    out = None
+    """ranking_metrics for each kind of negatives, over all positives and the negatives of that kind. The scores are computed once."""
+    out, rows = None, Stage(df.select(label, score, kind)).df
     for k in kinds:
-        one = ranking_metrics(df.where((F.col(label) == 1) | (F.col(kind) == k)), label, score).withColumn("kind", F.lit(k))
+        one = ranking_metrics(rows.where((F.col(label) == 1) | (F.col(kind) == k)), label, score).withColumn("kind", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -9,9 +9,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalar import clip
 from tidemark.session import require_columns
 
 
@@ -64,6 +65,30 @@ class Model:
         return out.select(*id, (F.greatest("prediction", F.lit(0.0)) if self.positive else F.col("prediction")).alias("score"))
 
 
+class Expression:
+    """A model without a fit: the score is a column or expression of the features, held within 0 and 1 (not calibrated)."""
+
+    def __init__(self, score: Column | str, *needs: str):
+        self.needs = needs or ((score,) if isinstance(score, str) else ())
+        self.column = F.col(score) if isinstance(score, str) else score
+
+    def fit(self, train: DataFrame) -> Expression:
+        require_columns(train, *self.needs)
+        return self
+
+    def score(self, df: DataFrame, id: Sequence[str]) -> DataFrame:
+        return df.select(*id, clip(self.column.cast("double"), 0.0, 1.0).alias("score"))
+
+
+def mark_best(table: DataFrame, metric: str, name: str, order: Sequence[str], more: bool = True) -> DataFrame:
+    """Adds is_best: whether the row has the best value of the metric; of equal ones the first of ``order``. Null is never best."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col(name))
+    best = F.max_by if more else F.min_by
+    value = F.struct(F.col(metric).alias("m"), (-place if more else place).alias("p"))
+    one = table.where(F.col(metric).isNotNull() & ~F.isnan(metric)).agg(best(F.col(name), value).alias("__best"))
+    return table.join(F.broadcast(one)).withColumn("is_best", F.col(name).eqNullSafe(F.col("__best"))).drop("__best")
+
+
 def _weight(balanced: bool) -> dict:
     return {"weightCol": "weight_"} if balanced else {}
 

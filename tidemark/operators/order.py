@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,48 +31,73 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     return out.drop("__part", *(f"__{x}{k}" for k in range(len(names)) for x in "ob"))
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], cells: int = 1000, most: int = 100_000) -> list[float | None]:
+def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], most: int = 100_000) -> list[float | None]:
     """Quantiles by linear interpolation, as a list. Nulls and NaN are left out; no rows: None.
 
-    Rows are counted in cells of equal width; only the cells that hold a wanted rank are looked at again, divided further
-    until at most ``most`` values are left to fetch, or a cell holds one value only.
+    The values are kept in the shared folder, so ``df`` is computed once. Sampled ranks (a sketch of fixed size) give a narrow
+    bracket around each wanted rank; counting what lies below, on and within the brackets makes them certain, and only the
+    values within are looked at again, until at most ``most`` are left to fetch. Ranks that fall on a bracket's ends are known
+    at once, so neither ties nor a heavy tail take more rounds.
     """
-    x = df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)")
-    n, lo, hi = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    staged = Stage(df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)"))
+    try:
+        return _quantiles(staged.df, probs, most)
+    finally:
+        staged.drop()
+
+
+def _quantiles(x: DataFrame, probs: Sequence[float], most: int) -> list[float | None]:
+    n = x.count()
     if not n:
         return [None] * len(probs)
     places = [p * (n - 1) for p in probs]
     known: dict[int, float] = {}
-    todo = [(lo, hi, 0, sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places}))]
+    # open intervals: ends, rows below, rows within, wanted ranks
+    todo = [(None, None, 0, n, sorted({math.floor(p) for p in places} | {math.ceil(p) for p in places}))]
     while todo:
-        lo, hi, base, ranks = todo.pop()
-        if lo == hi:
-            known.update(dict.fromkeys(ranks, lo))
-            continue
-        part = x.where((F.col("x") >= lo) & (F.col("x") <= hi))
-        cell = F.least(F.floor((F.col("x") - lo) / (hi - lo) * cells), F.lit(cells - 1))
-        rows = part.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("a"), F.max("x").alias("b")).orderBy("c").collect()
-        fetch, at = [], base
-        for r in rows:
-            inside = [k for k in ranks if at <= k < at + r.n]
-            if inside and r.a == r.b:
-                known.update(dict.fromkeys(inside, r.a))
-            elif inside:
-                fetch.append((r.a, r.b, at, r.n, inside))
-            at += r.n
-        if sum(f[3] for f in fetch) <= most and fetch:
+        few, used = [], 0
+        for t in sorted(todo, key=lambda t: t[3]):
+            if used + t[3] <= most:
+                few.append(t)
+                used += t[3]
+        if few:
             wanted = F.lit(False)
-            for a, b, *_ in fetch:
-                wanted = wanted | F.col("x").between(a, b)
-            values = sorted(r.x for r in part.where(wanted).collect())
+            for lo, hi, *_ in few:
+                wanted = wanted | _within(lo, hi)
+            values = np.sort(x.where(wanted).toPandas()["x"].to_numpy())
             at = 0
-            for _, _, start, size, inside in fetch:
-                known.update({k: values[at + k - start] for k in inside})
+            for _, _, base, size, ranks in sorted(few, key=lambda t: t[2]):
+                known.update({r: float(values[at + r - base]) for r in ranks})
                 at += size
-        else:
-            todo += [(a, b, start, inside) for a, b, start, _, inside in fetch]
-    out = []
-    for p in places:
-        a, b = known[math.floor(p)], known[math.ceil(p)]
-        out.append(a + (b - a) * (p - math.floor(p)))
+            todo = [t for t in todo if t not in few]
+            continue
+        lo, hi, base, size, ranks = todo.pop()
+        todo += _narrowed(x.where(_within(lo, hi)), (lo, hi), base, size, ranks, known)
+    return [known[math.floor(p)] + (known[math.ceil(p)] - known[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
+def _within(lo: float | None, hi: float | None) -> Column:
+    out = F.lit(True)
+    if lo is not None:
+        out = out & (F.col("x") > lo)
+    return out if hi is None else out & (F.col("x") < hi)
+
+
+def _narrowed(part: DataFrame, ends: tuple, base: int, size: int, ranks: list[int], known: dict[int, float]) -> list[tuple]:
+    """Cuts an open interval at sampled values around its wanted ranks; what falls on a cut is known, the rest is returned."""
+    error = max(1e-4, min(1e-3, 1 / (40 * len(ranks))))
+    around = sorted({min(max((r - base + 0.5) / size + d * error, 0.0), 1.0) for r in ranks for d in (-2, 2)})
+    cuts = sorted(set(part.approxQuantile("x", around, error)))
+    x = F.col("x")
+    counts = part.agg(*(c for k, v in enumerate(cuts) for c in (F.count(F.when(x < v, 1)).alias(f"b{k}"), F.count(F.when(x == v, 1)).alias(f"e{k}")))).first()
+    out, left, before = [], ends[0], base
+    for k, v in [*enumerate(cuts), (None, ends[1])]:
+        below = base + (size if k is None else counts[f"b{k}"])
+        inside = [r for r in ranks if before <= r < below]
+        if inside:
+            out.append((left, v, before, below - before, inside))
+        if k is not None:
+            before = below + counts[f"e{k}"]
+            known.update({r: v for r in ranks if below <= r < before})
+        left = v
     return out

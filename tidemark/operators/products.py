@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import Stage, require_columns
 
-#: Items along a side of a tile.
-TILE = 1000
+#: Items along a side of a tile; rows of a pair of tiles that are added up together.
+TILE, ROWS = 1000, 200_000
 
 
 def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -70,12 +70,16 @@ def item_products(df: DataFrame, group: str, item: str, value: str) -> DataFrame
     sides = numbered.groupBy("t").agg((F.max("p") + 1).alias("n"))
     named = rows.join(numbered, "item")
     pieces = Stage(named.groupBy("g", "t").agg(F.collect_list(F.struct("p", "v")).alias("l")).join(F.broadcast(sides), "t").select("g", "t", "n", "l.p", "l.v")).df
-    one = pieces.select("g", F.col("t").alias("ta"), F.col("n").alias("na"), F.col("p").alias("a"), F.col("v").alias("x"))
-    two = pieces.select("g", F.col("t").alias("tb"), F.col("n").alias("nb"), F.col("p").alias("b"), F.col("v").alias("y"))
-    # a tile is cut among several tasks only as far as there are groups enough to fill it
-    salts = min(64, max(1, pieces.count() // 200_000))
-    work = one.join(two, "g").where("ta <= tb").withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(salts)))
-    work = work.repartition("ta", "tb", "salt").sortWithinPartitions("ta", "tb").drop("g", "salt")
+    # every piece goes to the pairs of its tile with the group's tiles, row by row: the pieces of a large group never stand in
+    # one task, and meet again by (group, pair of tiles)
+    tiles_of = pieces.groupBy("g").agg(F.collect_set("t").alias("ts"))
+    sent = pieces.join(tiles_of, "g").select("g", F.explode("ts").alias("o"), "t", F.struct("n", "p", "v").alias("l"))
+    sent = sent.select("g", F.least("t", "o").alias("ta"), F.greatest("t", "o").alias("tb"), "t", "l")
+    met = sent.groupBy("g", "ta", "tb").agg(F.max(F.when(F.col("t") == F.col("ta"), F.col("l"))).alias("x"), F.max(F.when(F.col("t") == F.col("tb"), F.col("l"))).alias("y"))
+    # a pair of tiles has at most one row per group, so this bounds the rows that a task adds up together
+    salts = -(-rows.select("g").distinct().count() // ROWS) or 1
+    work = met.withColumn("salt", F.pmod(F.xxhash64("g"), F.lit(salts))).repartition("ta", "tb", "salt").sortWithinPartitions("ta", "tb")
+    work = work.select("ta", "tb", F.col("x.n").alias("na"), F.col("x.p").alias("a"), F.col("x.v").alias("x"), F.col("y.n").alias("nb"), F.col("y.p").alias("b"), F.col("y.v").alias("y"))
     sums = work.mapInPandas(_add_tiles, "ta int, ia int, tb int, ib int, v double").groupBy("ta", "ia", "tb", "ib").agg(F.sum("v").alias("v"))
     half = sums.unionAll(sums.where("ta < tb").select("tb", "ib", "ta", "ia", "v"))
     name = lambda s: numbered.select(F.col("t").alias(f"t{s}"), F.col("p").alias(f"i{s}"), F.col("item").alias("src" if s == "a" else "dst"))

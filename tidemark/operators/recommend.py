@@ -121,7 +121,7 @@ def item_neighbours(train: DataFrame, k: int = 100, shrink: float = 10.0) -> Dat
 def item_knn_scores(train: DataFrame, neighbours: DataFrame, users: DataFrame) -> DataFrame:
     """user_id, item_id, score: sum over the user's items of play_count times similarity to the item."""
     sim = Stage(neighbours).df
-    mine = train.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("item_id").alias("src"), "play_count").repartition("user_id")
+    mine = train.join(users.select("user_id").distinct(), "user_id", "left_semi").select("user_id", F.col("item_id").alias("src"), "play_count")
     sim2 = F.broadcast(sim) if sim.count() <= MOST_BROADCAST else sim
     return mine.join(sim2, "src").groupBy("user_id", F.col("dst").alias("item_id")).agg(F.round(F.sum(F.col("play_count") * F.col("similarity")), 10).alias("score"))
 

@@ -12,6 +12,7 @@ from tidemark.operators.order import running_totals
 from tidemark.session import Stage, require_columns
 
 MOST_WORDS, MOST_CHARS = 50_000, 60_000
+#: The names of the features, in their order.
 LEXICAL = [
     "token_jaccard", "content_jaccard", "idf_weighted_overlap", "shared_token_count", "min_token_count", "max_token_count", "token_count_ratio", "abs_char_length_diff",
     "min_char_length", "common_prefix_words", "same_leading_word", "same_final_content_word", "digit_overlap", "unique_to_shorter",
@@ -207,9 +208,10 @@ def component_summary(edges: DataFrame, u: str, v: str) -> DataFrame:
     """n_components, n_nodes and share of the largest, of the undirected graph. One row.
 
     Labels sink to the smallest neighbour's and then to their label's label, written to the shared folder each round, until
-    nothing changes.
+    nothing changes. Nodes go by a digest of 16 bytes, however long their names are.
     """
-    e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).dropna().distinct()
+    name = lambda c: F.unhex(F.md5(F.col(c).cast("string")))
+    e = edges.select(name(u).alias("u"), name(v).alias("v")).dropna().distinct()
     e = Stage(e.unionAll(e.select("v", "u")).distinct()).df
     state = Stage(e.select(F.col("u").alias("n")).distinct().withColumn("l", F.col("n")))
     while True:

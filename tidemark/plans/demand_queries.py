@@ -88,7 +88,7 @@ QUERIES = {
     )
 }
 
-_P = f"""WITH {SALES_SQL}, span AS (SELECT min(date) AS a, max(date) AS b FROM sales), keys AS (SELECT sku_id, max(base_price) AS base, min(category) AS cat FROM sales GROUP BY 1),
+PANEL_SQL = f"""WITH {SALES_SQL}, span AS (SELECT min(date) AS a, max(date) AS b FROM sales), keys AS (SELECT sku_id, max(base_price) AS base, min(category) AS cat FROM sales GROUP BY 1),
 hol AS (SELECT date, max(is_holiday) AS h FROM sales GROUP BY 1),
 panel AS (SELECT k.sku_id, g.date, k.cat AS category, coalesce(s.price, k.base) AS price, k.base AS base_price, coalesce(s.on_promo, false) AS on_promo,
   coalesce(hol.h, false) AS is_holiday, coalesce(s.was_in_stock, false) AS was_in_stock, coalesce(s.units, 0) AS units
@@ -108,14 +108,14 @@ _ROLL_SQL = {f"{k}_{w}_{H}": _least(f"{fn}(units)", w, max(2, w // 4)) for w in
 _ROLL_SQL[f"nonzero_28_{H}"] = _least("avg(CASE WHEN units > 0 THEN 1.0 ELSE 0.0 END)", 28, 7)
 _ROLL_SQL[f"promo_days_28_{H}"] = _least("sum(CAST(on_promo AS INTEGER))", 28, 7)
 _LAG_SQL = ", ".join(f"lag(units, {n}) OVER (PARTITION BY sku_id ORDER BY date) AS lag_{n}" for n in demand.lag_days(HORIZON))
-_F = _P + ", f0 AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _ROLL_SQL.items()) + f", {_LAG_SQL} FROM panel), "
+_F = PANEL_SQL + ", f0 AS (SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _ROLL_SQL.items()) + f", {_LAG_SQL} FROM panel), "
 _F += f"f AS (SELECT *, CASE WHEN mean_91_{H} > 0 THEN mean_7_{H} / mean_91_{H} END AS trend_{H} FROM f0)"
-_FOLDS_SQL = f"""fj AS (SELECT CAST({FOLDS - 1} - j AS INTEGER) AS fold, CAST(b - j * {HORIZON} AS DATE) AS test_end, CAST(b - j * {HORIZON} - {HORIZON - 1} AS DATE) AS test_start,
+FOLDS_SQL = f"""fj AS (SELECT CAST({FOLDS - 1} - j AS INTEGER) AS fold, CAST(b - j * {HORIZON} AS DATE) AS test_end, CAST(b - j * {HORIZON} - {HORIZON - 1} AS DATE) AS test_start,
   CAST(b - j * {HORIZON} - {HORIZON} AS DATE) AS origin FROM (SELECT min(date) AS a, max(date) AS b FROM sales), (SELECT CAST(unnest(range({FOLDS})) AS INTEGER) AS j)
   WHERE (b - j * {HORIZON} - {HORIZON}) - a >= {MIN_DAYS})"""
 _B = (
     _F
-    + f""", {_FOLDS_SQL}, tm AS (SELECT fold, avg(units) AS m FROM panel, fj WHERE date <= origin AND was_in_stock GROUP BY 1),
+    + f""", {FOLDS_SQL}, tm AS (SELECT fold, avg(units) AS m FROM panel, fj WHERE date <= origin AND was_in_stock GROUP BY 1),
 pr AS (SELECT model, fj.fold, origin, date, sku_id, category, CAST(date - origin AS INTEGER) AS days_ahead, units, greatest(coalesce(raw, m), 0.0) AS forecast
   FROM (SELECT sku_id, date, category, units, unnest(['seasonal_naive', 'moving_average', 'last_year']) AS model,
   unnest([CAST(lag_{HORIZON} AS DOUBLE), mean_28_{H}, CAST(lag_364 AS DOUBLE)]) AS raw FROM f) x JOIN fj ON date BETWEEN test_start AND test_end LEFT JOIN tm ON tm.fold = fj.fold)"""
@@ -135,15 +135,15 @@ def _grouped(cols: str) -> str:
 
 
 ORACLE = {
-    "panel_dense": _P + f" SELECT sku_id, date, category, {R.format('price')} AS price, {R.format('base_price')} AS base_price, on_promo, is_holiday, was_in_stock, units FROM panel",
+    "panel_dense": PANEL_SQL + f" SELECT sku_id, date, category, {R.format('price')} AS price, {R.format('base_price')} AS base_price, on_promo, is_holiday, was_in_stock, units FROM panel",
     "demand_lags": _F + " SELECT sku_id, date, " + ", ".join(f"lag_{n}" for n in demand.lag_days(HORIZON)) + " FROM f",
     "demand_rolling": _F + " SELECT sku_id, date, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" if c.startswith("promo") else f"{R.format(c)} AS {c}" for c in _ROLLING) + " FROM f",
-    "demand_calendar": _P
+    "demand_calendar": PANEL_SQL
     + f""" SELECT sku_id, date, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, {R.format("sin(dayofyear(date) * 2 * pi() / 365.25)")} AS doy_sin,
   {R.format("cos(dayofyear(date) * 2 * pi() / 365.25)")} AS doy_cos, CAST(date - (SELECT a FROM span) AS INTEGER) AS days_since_start, {R.format("1 - price / nullif(base_price, 0)")} AS discount_pct,
   CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(on_promo AS INTEGER) AS promo_flag, CAST(is_holiday AS INTEGER) AS holiday_flag FROM panel""",
-    "training_mask": _P + " SELECT sku_id, count(*) AS n_train, CAST(sum(units) AS BIGINT) AS units FROM panel WHERE was_in_stock GROUP BY 1",
-    "backtest_folds": f"WITH {SALES_SQL}, {_FOLDS_SQL} SELECT fold, origin, test_start, test_end FROM fj",
+    "training_mask": PANEL_SQL + " SELECT sku_id, count(*) AS n_train, CAST(sum(units) AS BIGINT) AS units FROM panel WHERE was_in_stock GROUP BY 1",
+    "backtest_folds": f"WITH {SALES_SQL}, {FOLDS_SQL} SELECT fold, origin, test_start, test_end FROM fj",
     "backtest_predictions": _B + f" SELECT model, fold, origin, date, sku_id, category, days_ahead, units, {R.format('forecast')} AS forecast FROM pr",
     "backtest_summary": _SUM
     + " SELECT model, " + ", ".join(f"{R.format(c)} AS {c}" for c in ("wape", "mae", "rmse", "smape", "bias", "wape_std", "wape_worst")) + ", n_folds FROM o JOIN sp USING (model)",

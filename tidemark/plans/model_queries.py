@@ -1,4 +1,4 @@
-"""Queries of the learned models. They have no SQL counterpart."""
+"""Queries of the learned models. Their scores have no SQL counterpart; what was scored has."""
 
 from __future__ import annotations
 
@@ -7,39 +7,32 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import demand, history, metrics, models, textpairs
-from tidemark.plans.demand_queries import FOLDS, HORIZON, MIN_DAYS
+from tidemark.operators import demand, metrics, models, textpairs
+from tidemark.plans import ladders
+from tidemark.plans.demand_queries import FOLDS, FOLDS_SQL, HORIZON, MIN_DAYS, PANEL_SQL
 from tidemark.plans.pair_queries import pairs
 from tidemark.session import Stage
-from tidemark.sources.tables import sales, transactions
+from tidemark.sources.tables import sales
 
 
-def _txn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = transactions(spark, d)
-    labelled = t.select("transaction_id", "timestamp", F.col("is_fraud").alias("label"))
-    rows = Stage(history.temporal_split(history.build_features(t).join(labelled, "transaction_id"), "timestamp")).df
-    return rows.where("split = 'train'"), rows.where("split = 'test'")
-
-
-def _fraud(spark: SparkSession, d: str, estimator, balanced: bool) -> DataFrame:
-    train, test = _txn(spark, d)
-    model = models.Model(estimator, history.NUMERIC + history.BINARY, ["merchant_category"], balanced=balanced).fit(train)
-    return model.score(test, ["transaction_id", "label"])
+def _fraud(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows = ladders.fraud_rows(spark, d)
+    return ladders.FRAUD[name]().fit(rows.where("split = 'train'")).score(rows.where("split = 'test'"), ["transaction_id", "label"])
 
 
 def lr_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _fraud(spark, d, models.logistic(0.5), True)
+    return _fraud(spark, d, "logistic")
 
 
 def gbt_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _fraud(spark, d, models.boosted_classifier(10, 4), False)
+    return _fraud(spark, d, "boosted")
 
 
 def gbt_weighted_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.ranking_metrics(_fraud(spark, d, models.boosted_classifier(10, 4), True), "label", "score")
+    return metrics.ranking_metrics(Stage(_fraud(spark, d, "boosted_weighted")).df, "label", "score")
 
 
-LEARNED = {"tweedie": models.tweedie, "gbt": lambda: models.boosted_regressor(10, 4)}
+LEARNED = {name: make for name, make in ladders.DEMAND.items() if callable(make)}
 
 
 def _panel(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +75,16 @@ def _backtest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learned_backtest_summary(spark: SparkSession, d: str) -> DataFrame:
-    return demand.summarise(_backtest(spark, d))
+    """Baselines and learned models, the best first (ties: by name)."""
+    return models.mark_best(demand.summarise(_backtest(spark, d)), "wape", "model", list(ladders.DEMAND), more=False).orderBy("wape", "model")
+
+
+def learned_backtest_check(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, units and days ahead of each learned model in each fold, and whether every forecast is a number of at least 0."""
+    panel, feats = _panel(spark, d)
+    p = reduce(DataFrame.unionByName, (_forecasts(panel, feats, name) for name in LEARNED))
+    fine = F.count_if(~F.coalesce(F.col("forecast") >= 0, F.lit(False)) | F.isnan("forecast")) == 0
+    return p.groupBy("model", "fold", "origin").agg(F.count("*").alias("n"), F.sum("units").alias("units"), F.sum("days_ahead").alias("days_ahead"), fine.alias("is_fine"))
 
 
 def learned_value_add(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +92,7 @@ def learned_value_add(spark: SparkSession, d: str) -> DataFrame:
 
 
 def learned_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return demand.by_group(_backtest(spark, d), "model", "category")
+    return demand.by_group(_backtest(spark, d), "model", "category").orderBy(F.desc("volume"), "category", "model")
 
 
 def learned_by_horizon_day(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +117,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         lr_scores, gbt_scores, gbt_weighted_metrics, tweedie_forecast, gbt_forecast, pair_lr_scores,
-        learned_backtest_summary, learned_value_add, learned_by_category, learned_by_horizon_day, learned_by_week,
+        learned_backtest_summary, learned_backtest_check, learned_value_add, learned_by_category, learned_by_horizon_day, learned_by_week,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "learned_backtest_check": f"""{PANEL_SQL}, {FOLDS_SQL}, m AS (SELECT unnest({list(LEARNED)}) AS model)
+  SELECT model, fold, origin, count(*) AS n, CAST(sum(units) AS BIGINT) AS units, CAST(sum(date - origin) AS BIGINT) AS days_ahead, true AS is_fine
+  FROM panel JOIN fj ON date BETWEEN test_start AND test_end, m GROUP BY 1, 2, 3""",
+}

@@ -58,36 +58,44 @@ def unseen_share(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(_encoder(spark, d).unseen_share(pairs(spark, d).where("split = 'test'")))
 
 
-def _random(spark: SparkSession, d: str) -> DataFrame:
+def split_by_pair(spark: SparkSession, d: str) -> DataFrame:
     return textpairs.random_pair_split(pairs(spark, d), 0.25, key=F.pmod(F.col("pair_id") * 7919, F.lit(1000)) * 1000)
 
 
-def _disjoint(spark: SparkSession, d: str) -> DataFrame:
+def split_by_cluster(spark: SparkSession, d: str) -> DataFrame:
     return textpairs.cluster_disjoint_split(pairs(spark, d), 0.25, key=lambda c: F.pmod(c * 7919, F.lit(10007)))
 
 
 def random_pair_split(spark: SparkSession, d: str) -> DataFrame:
-    return _random(spark, d).select("pair_id", "part")
+    return split_by_pair(spark, d).select("pair_id", "part")
 
 
 def random_pair_split_hashed(spark: SparkSession, d: str) -> DataFrame:
     return textpairs.random_pair_split(pairs(spark, d), 0.25, seed=29).select("pair_id", "part")
 
 
+def hashed_split_check(spark: SparkSession, d: str) -> DataFrame:
+    """The split by hash: all pairs once, the test part near its share (5 standard errors), the same for any order of the rows."""
+    one, two = (textpairs.random_pair_split(p, 0.25, seed=29).select("pair_id", "part") for p in (pairs(spark, d), pairs(spark, d).repartition(7)))
+    t = one.join(two.withColumnRenamed("part", "again"), "pair_id").agg(F.count("*").alias("n_pairs"), F.count_if(F.col("part") == "test").alias("n"), F.count_if(F.col("part") != F.col("again")).alias("n_moved"))
+    near = F.abs(F.col("n") - 0.25 * F.col("n_pairs")) <= 5 * F.sqrt(F.col("n_pairs") * 0.1875)
+    return t.select("n_pairs", "n_moved", near.alias("share_is_near"))
+
+
 def cluster_disjoint_split(spark: SparkSession, d: str) -> DataFrame:
-    return _disjoint(spark, d).select("pair_id", "part")
+    return split_by_cluster(spark, d).select("pair_id", "part")
 
 
 def split_report(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(textpairs.split_report(_disjoint(spark, d)))
+    return _rounded(textpairs.split_report(split_by_cluster(spark, d)))
 
 
 def rebalanced_split(spark: SparkSession, d: str) -> DataFrame:
-    return textpairs.rebalance(_random(spark, d).where("part = 'test'"), 0.2, F.pmod(F.col("pair_id") * 7919, F.lit(10007))).select("pair_id", "is_duplicate")
+    return textpairs.rebalance(split_by_pair(spark, d).where("part = 'test'"), 0.2, F.pmod(F.col("pair_id") * 7919, F.lit(10007))).select("pair_id", "is_duplicate")
 
 
 def question_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return textpairs.question_overlap(_random(spark, d))
+    return textpairs.question_overlap(split_by_pair(spark, d))
 
 
 def hard_negative_neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_stats, idf_table, tfidf_word_cosine, tfidf_char_cosine, pair_lexical_features, pair_features, target_encoding, unseen_share, random_pair_split,
-        random_pair_split_hashed, cluster_disjoint_split, split_report, rebalanced_split, question_overlap, hard_negative_neighbours, connected_components, metrics_by_pair_kind,
+        random_pair_split_hashed, hashed_split_check, cluster_disjoint_split, split_report, rebalanced_split, question_overlap, hard_negative_neighbours, connected_components, metrics_by_pair_kind,
     )
 }
 
@@ -133,14 +141,22 @@ cos AS (SELECT pair_id, sum(a.w * b.w) AS c FROM pairs JOIN v a ON a.t = questio
     )
 
 
+def _fitted(name: str, grams: str, min_df: int, most: int) -> str:
+    """idf_{name} from the train pairs, and cos_{name} of all pairs with it."""
+    return f"""tf_{name} AS (SELECT t, mult, tmult, term, count(*) AS tf FROM ({grams}) GROUP BY 1, 2, 3, 4),
+idf_{name} AS (SELECT term, df, ln((1 + (SELECT sum(tmult) FROM tx)) / (1 + df)) + 1 AS idf FROM (SELECT term, CAST(sum(tmult) AS BIGINT) AS df, sum(tf * tmult) AS total FROM tf_{name}
+  WHERE tmult > 0 GROUP BY 1 HAVING sum(tmult) >= {min_df} ORDER BY total DESC, term LIMIT {most})),
+v0_{name} AS (SELECT t, term, (1 + ln(tf)) * idf AS w FROM tf_{name} JOIN idf_{name} USING (term)), v_{name} AS (SELECT t, term, w / sqrt(sum(w * w) OVER (PARTITION BY t)) AS w FROM v0_{name}),
+cos_{name} AS (SELECT pair_id, sum(a.w * b.w) AS c_{name} FROM pairs JOIN v_{name} a ON a.t = question1 JOIN v_{name} b ON b.t = question2 AND b.term = a.term GROUP BY 1)"""
+
+
 _WORDS = r"""SELECT t, mult, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS term FROM (SELECT t, mult, regexp_extract_all(lower(t), '[\p{L}\p{N}_]{2,}') AS w FROM tx)"""
 _CHARS = r"""SELECT t, mult, substr(w, CAST(i AS BIGINT), n) AS term FROM (SELECT t, mult, w, n, unnest(range(1, length(w) - n + 2)) AS i FROM (SELECT t, mult, ' ' || x || ' ' AS w, unnest([3, 4, 5]) AS n
   FROM (SELECT t, mult, unnest(list_filter(regexp_split_to_array(lower(t), '\s+'), lambda z: z <> '')) AS x FROM tx)))"""
 _COS = f" SELECT pair_id, {R.format('coalesce(c, 0)')} AS cosine FROM pairs LEFT JOIN cos USING (pair_id)"
 _JAC = "CASE WHEN len({0}) = 0 AND len({1}) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct({0} || {1})) END"
-_LEX = (
-    _vectors(_WORDS, 2, textpairs.MOST_WORDS)
-    + f""", k AS (SELECT pair_id, question1 AS t1, question2 AS t2, {_TOK.format("question1")} AS k1, {_TOK.format("question2")} AS k2 FROM pairs),
+_LEX_BODY = (
+    f""", k AS (SELECT pair_id, question1 AS t1, question2 AS t2, {_TOK.format("question1")} AS k1, {_TOK.format("question2")} AS k2 FROM pairs),
 s AS (SELECT *, list_distinct(k1) AS s1, list_distinct(k2) AS s2, list_filter(list_distinct(k1), lambda z: NOT list_contains({_STOP}, z)) AS c1,
   list_filter(list_distinct(k2), lambda z: NOT list_contains({_STOP}, z)) AS c2 FROM k),
 u AS (SELECT pair_id, unnest(list_distinct(s1 || s2)) AS term, list_intersect(s1, s2) AS b FROM s),
@@ -149,7 +165,17 @@ o AS (SELECT pair_id, sum(CASE WHEN list_contains(b, term) THEN w ELSE 0.0 END)
 x AS (SELECT *, list_filter(s1, lambda z: regexp_full_match(z, '[0-9]+')) AS d1, list_filter(s2, lambda z: regexp_full_match(z, '[0-9]+')) AS d2,
   CASE WHEN len(c1) <= len(c2) THEN c1 ELSE c2 END AS sh, CASE WHEN len(c1) <= len(c2) THEN c2 ELSE c1 END AS lo,
   [k1[i] = k2[i] for i in range(1, least(len(k1), len(k2)) + 1)] AS eq FROM s LEFT JOIN o USING (pair_id))
-SELECT pair_id, """
+"""
+)
+_LEX = _vectors(_WORDS, 2, textpairs.MOST_WORDS) + _LEX_BODY + "SELECT pair_id, "
+_TRAIN_TEXTS = (
+    _Q
+    + """, both_q AS (SELECT question1 AS t, split FROM pairs UNION ALL SELECT question2, split FROM pairs),
+tx AS (SELECT t, count(*) AS mult, count(*) FILTER (WHERE split = 'train') AS tmult FROM both_q GROUP BY 1), """
+)
+_WITH_TRAIN = (
+    _TRAIN_TEXTS + _fitted("word", _WORDS.replace("t, mult", "t, mult, tmult"), 2, textpairs.MOST_WORDS) + ", " + _fitted("char", _CHARS.replace("t, mult", "t, mult, tmult"), 3, textpairs.MOST_CHARS)
+    + ", idf AS (SELECT * FROM idf_word)" + _LEX_BODY
 )
 _LEX_COLS = {
     "token_jaccard": _JAC.format("s1", "s2"), "content_jaccard": _JAC.format("c1", "c2"), "idf_weighted_overlap": "CASE WHEN uni > 0 THEN shared / uni ELSE 0.0 END",
@@ -164,8 +190,8 @@ _ENC = (
     + """, f AS (SELECT question1 AS q, is_duplicate AS y FROM pairs WHERE split = 'train' UNION ALL SELECT question2, is_duplicate FROM pairs WHERE split = 'train'),
 pr AS (SELECT avg(is_duplicate) AS p FROM pairs WHERE split = 'train'), st AS (SELECT q, (sum(y) + 5 * (SELECT p FROM pr)) / (count(*) + 5) AS enc, count(*) AS seen FROM f GROUP BY 1)"""
 )
-_RS = _Q + ", sp AS (SELECT *, CASE WHEN (pair_id * 7919) % 1000 * 1000 < 250000 THEN 'test' ELSE 'train' END AS part FROM pairs)"
-_CD = (
+SPLIT_BY_PAIR = _Q + ", sp AS (SELECT *, CASE WHEN (pair_id * 7919) % 1000 * 1000 < 250000 THEN 'test' ELSE 'train' END AS part FROM pairs)"
+SPLIT_BY_CLUSTER = (
     _Q
     + """, c AS (SELECT cluster1 AS c FROM pairs WHERE cluster1 IS NOT NULL UNION SELECT cluster2 FROM pairs WHERE cluster2 IS NOT NULL),
 dr AS (SELECT c FROM (SELECT c, row_number() OVER (ORDER BY (c * 7919) % 10007, c) AS r FROM c) WHERE r <= greatest(1, (SELECT round_even(count(*) * 0.25, 0) FROM c))),
@@ -187,20 +213,25 @@ ORACLE = {
     "tfidf_word_cosine": _vectors(_WORDS, 2, textpairs.MOST_WORDS) + _COS,
     "tfidf_char_cosine": _vectors(_CHARS, 3, textpairs.MOST_CHARS) + _COS,
     "pair_lexical_features": _LEX + ", ".join(f"{R.format(e)} AS {n}" for n, e in _LEX_COLS.items()) + " FROM x",
+    "pair_features": _WITH_TRAIN
+    + f"SELECT pair_id, {R.format('coalesce(c_word, 0)')} AS tfidf_word_cosine, {R.format('coalesce(c_char, 0)')} AS tfidf_char_cosine, "
+    + ", ".join(f"{R.format(e)} AS {n}" for n, e in _LEX_COLS.items())
+    + " FROM x LEFT JOIN cos_word USING (pair_id) LEFT JOIN cos_char USING (pair_id)",
     "target_encoding": _ENC
     + f""" SELECT pair_id, {R.format("least(coalesce(a.enc, p), coalesce(b.enc, p))")} AS question_target_enc_min, {R.format("greatest(coalesce(a.enc, p), coalesce(b.enc, p))")} AS question_target_enc_max,
   least(coalesce(a.seen, 0), coalesce(b.seen, 0)) AS question_seen_count_min, greatest(coalesce(a.seen, 0), coalesce(b.seen, 0)) AS question_seen_count_max
   FROM pairs CROSS JOIN pr LEFT JOIN st a ON a.q = question1 LEFT JOIN st b ON b.q = question2""",
     "unseen_share": _ENC
     + f", te AS (SELECT question1 AS q FROM pairs WHERE split = 'test' UNION ALL SELECT question2 FROM pairs WHERE split = 'test') SELECT {R.format('avg(CASE WHEN seen IS NULL THEN 1.0 ELSE 0.0 END)')} AS unseen_share FROM te LEFT JOIN st USING (q)",
-    "random_pair_split": _RS + " SELECT pair_id, part FROM sp",
-    "cluster_disjoint_split": _CD + " SELECT pair_id, part FROM sp",
-    "split_report": _CD
+    "random_pair_split": SPLIT_BY_PAIR + " SELECT pair_id, part FROM sp",
+    "hashed_split_check": _Q + " SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_moved, true AS share_is_near FROM pairs",
+    "cluster_disjoint_split": SPLIT_BY_CLUSTER + " SELECT pair_id, part FROM sp",
+    "split_report": SPLIT_BY_CLUSTER
     + f" SELECT coalesce(part, 'dropped') AS part, count(*) AS n, {R.format('count(*) / (SELECT count(*) FROM sp)')} AS share, {R.format('avg(is_duplicate)')} AS duplicate_rate FROM sp GROUP BY 1",
-    "rebalanced_split": _RS
+    "rebalanced_split": SPLIT_BY_PAIR
     + """, te AS (SELECT * FROM sp WHERE part = 'test'), n AS (SELECT greatest(1, round_even(count(*) FILTER (WHERE is_duplicate <> 1) * 0.2::DOUBLE / (1 - 0.2::DOUBLE), 0)) AS k FROM te)
   SELECT pair_id, is_duplicate FROM (SELECT *, row_number() OVER (PARTITION BY is_duplicate ORDER BY (pair_id * 7919) % 10007, pair_id) AS r FROM te), n WHERE is_duplicate <> 1 OR r <= k""",
-    "question_overlap": _RS
+    "question_overlap": SPLIT_BY_PAIR
     + """ SELECT question1 AS question FROM sp WHERE part = 'train' AND 1 = 0 UNION (SELECT unnest([question1, question2]) FROM sp WHERE part = 'train'
   INTERSECT SELECT unnest([question1, question2]) FROM sp WHERE part = 'test')""",
     "hard_negative_neighbours": """WITH t AS (SELECT DISTINCT p_brand, p_type, p_size FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL AND p_size IS NOT NULL)

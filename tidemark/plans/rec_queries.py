@@ -14,7 +14,7 @@ from tidemark.sources.tables import PLAYS_SQL, plays
 K, NEIGHBOURS = 10, 20
 
 
-def _split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """train, test, and the catalogue: the items table and all items played."""
     s = Stage(recommend.leave_last_out(recommend.collapse_repeats(plays(spark, d)))).df
     catalogue = read_table(spark, d, "items").select("item_id").unionAll(s.select("item_id")).where("item_id is not null").distinct()
@@ -34,12 +34,12 @@ def leave_last_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 def train_test_leak_check(spark: SparkSession, d: str) -> DataFrame:
-    train, test, _ = _split(spark, d)
+    train, test, _ = split(spark, d)
     return recommend.leaked_pairs(train, test).agg(F.count("*").alias("n_leaked"))
 
 
 def _popular(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    train, test, items = _split(spark, d)
+    train, test, items = split(spark, d)
     return recommend.top_k_by_rank(test, recommend.popularity_rank(train), train, K), train, test, items
 
 
@@ -48,21 +48,21 @@ def popularity_topk_masked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_topk(spark: SparkSession, d: str) -> DataFrame:
-    train, test, items = _split(spark, d)
+    train, test, items = split(spark, d)
     return recommend.random_top_k(test, items, train, K)
 
 
 def item_knn_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The nearest ``NEIGHBOURS``, as its SQL has them; item_knn_full_neighbours has the model's 100."""
-    return _rounded(recommend.item_neighbours(_split(spark, d)[0], NEIGHBOURS))
+    return _rounded(recommend.item_neighbours(split(spark, d)[0], NEIGHBOURS))
 
 
 def item_knn_full_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(recommend.item_neighbours(_split(spark, d)[0]))
+    return _rounded(recommend.item_neighbours(split(spark, d)[0]))
 
 
 def _knn(spark: SparkSession, d: str, *neighbours: int) -> DataFrame:
-    train, test, _ = _split(spark, d)
+    train, test, _ = split(spark, d)
     return recommend.masked_top_k(recommend.item_knn_scores(train, recommend.item_neighbours(train, *neighbours), test), train, K)
 
 
@@ -91,18 +91,18 @@ def rec_by_activity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def als_factors(spark: SparkSession, d: str) -> DataFrame:
-    users, items = als.fit_als(_split(spark, d)[0])
+    users, items = als.fit_als(split(spark, d)[0])
     return users.withColumn("side", F.lit("user")).unionByName(items.withColumn("side", F.lit("item")))
 
 
 def als_objective(spark: SparkSession, d: str) -> DataFrame:
-    train = _split(spark, d)[0]
+    train = split(spark, d)[0]
     users, items = als.fit_als(train)
     return spark.createDataFrame([(als.als_objective(train, users, items),)], "objective double")
 
 
 def als_topk(spark: SparkSession, d: str) -> DataFrame:
-    train, test, _ = _split(spark, d)
+    train, test, _ = split(spark, d)
     users, items = als.fit_als(train)
     return als.als_top_k(users.join(test.select(F.col("user_id").alias("id")).distinct(), "id", "left_semi"), items, train, K)
 
@@ -116,12 +116,12 @@ QUERIES = {
     )
 }
 
-_C = f"""WITH {PLAYS_SQL}, c AS (SELECT user_id, item_id, max(timestamp) AS timestamp, CAST(sum(play_count) AS BIGINT) AS play_count FROM plays GROUP BY 1, 2),
+SPLIT_SQL = f"""WITH {PLAYS_SQL}, c AS (SELECT user_id, item_id, max(timestamp) AS timestamp, CAST(sum(play_count) AS BIGINT) AS play_count FROM plays GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, item_id DESC) <= 2 AND count(*) OVER (PARTITION BY user_id) - 2 >= 5
   THEN 'test' ELSE 'train' END AS split FROM c), tr AS (SELECT * FROM s WHERE split = 'train'), te AS (SELECT * FROM s WHERE split = 'test'),
 cat AS (SELECT item_id FROM items WHERE item_id IS NOT NULL UNION SELECT item_id FROM c)"""
 _POP = (
-    _C
+    SPLIT_SQL
     + f""", pop AS (SELECT item_id, count(DISTINCT user_id) AS n_users FROM tr GROUP BY 1),
 rec AS (SELECT * FROM (SELECT u.user_id, row_number() OVER (PARTITION BY u.user_id ORDER BY n_users DESC, pop.item_id) AS rank, pop.item_id, CAST(n_users AS DOUBLE) AS score
   FROM (SELECT DISTINCT user_id FROM te) u CROSS JOIN pop ANTI JOIN tr ON tr.user_id = u.user_id AND tr.item_id = pop.item_id) WHERE rank <= {K})"""
@@ -135,7 +135,7 @@ pu AS (SELECT user_id, n_truth, coalesce(hits, 0) / n_truth AS recall, CAST(coal
   coalesce(dcg, 0) / list_sum([1 / log2(r + 1) for r in range(1, least(n_truth, {K}) + 1)]) AS ndcg, coalesce(prec, 0) / least(n_truth, {K}) AS map FROM t LEFT JOIN hh USING (user_id))"""
 )
 _KNN = (
-    _C
+    SPLIT_SQL
     + f""", dt AS (SELECT a.item_id AS src, b.item_id AS dst, sum(CAST(a.play_count AS DOUBLE) * b.play_count) AS p FROM tr a JOIN tr b USING (user_id) GROUP BY 1, 2),
 nm AS (SELECT src AS i, sqrt(p) AS n FROM dt WHERE src = dst),
 sim AS (SELECT src, dst, round(p / (x.n * y.n + 10.0 + 1e-9), 12) AS similarity FROM dt JOIN nm x ON x.i = src JOIN nm y ON y.i = dst WHERE src <> dst AND p <> 0),
@@ -150,9 +150,9 @@ ORACLE = {
   {R.format("(SELECT quantile_cont(n, 0.5) FROM pu)")} AS median_plays,
   {R.format("(SELECT sum(n) FROM (SELECT n FROM pi ORDER BY n DESC, item_id LIMIT (SELECT CAST(ceil(count(*) / 100.0) AS BIGINT) FROM cat))) / count(*)")} AS top1pct_share,
   (SELECT count(*) FROM cat ANTI JOIN pi USING (item_id)) AS never_played FROM plays""",
-    "repeat_collapse": _C + " SELECT * FROM c",
-    "leave_last_out": _C + " SELECT user_id, item_id, split FROM s",
-    "train_test_leak_check": _C + " SELECT count(*) AS n_leaked FROM te SEMI JOIN tr USING (user_id, item_id)",
+    "repeat_collapse": SPLIT_SQL + " SELECT * FROM c",
+    "leave_last_out": SPLIT_SQL + " SELECT user_id, item_id, split FROM s",
+    "train_test_leak_check": SPLIT_SQL + " SELECT count(*) AS n_leaked FROM te SEMI JOIN tr USING (user_id, item_id)",
     "popularity_topk_masked": _POP + f" SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {R.format('score')} AS score FROM rec",
     "item_knn_neighbours": _KNN + f" SELECT src, dst, {R.format('similarity')} AS similarity FROM nb",
     "item_knn_topk": _KNN

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import fixed
@@ -40,15 +40,19 @@ def txn_features_full(spark: SparkSession, d: str) -> DataFrame:
     return f.select(*(fixed(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in f.dtypes))
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    """transaction_id, timestamp, amount, label y, and the rule score."""
-    t = transactions(spark, d)
-    f = history.build_features(t).withColumnsRenamed({"distance_from_home_km": "km", "merchant_category": "cat"})
+def rule_column() -> Column:
+    """The rule score of a row of features."""
     rules = [
         (F.col("is_foreign") == 1, 1.1), (F.col("card_present") == 0, 0.8), (F.col("amount_to_account_mean") > RATIO, 1.3), (F.col("is_night") == 1, 0.4),
-        (F.col("txn_count_1h") >= VELOCITY, 1.5), (F.col("km") > DISTANCE, 0.9), (F.col("cat").isin(*RISKY), 0.7),
+        (F.col("txn_count_1h") >= VELOCITY, 1.5), (F.col("distance_from_home_km") > DISTANCE, 0.9), (F.col("merchant_category").isin(*RISKY), 0.7),
     ]
-    s = f.select("transaction_id", decision.rule_score(rules, INTERCEPT).alias("score"))
+    return decision.rule_score(rules, INTERCEPT)
+
+
+def scored(spark: SparkSession, d: str) -> DataFrame:
+    """transaction_id, timestamp, amount, label y, and the rule score."""
+    t = transactions(spark, d)
+    s = history.build_features(t).select("transaction_id", rule_column().alias("score"))
     return t.select("transaction_id", "timestamp", "amount", F.col("is_fraud").alias("y")).join(s, "transaction_id")
 
 
@@ -64,52 +68,52 @@ def _curve(spark: SparkSession, d: str) -> DataFrame:
     return decision.cost_curve(scored(spark, d), "transaction_id", "y", "score", "amount")
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(fixed(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def cost_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_curve(spark, d))
+    return rounded(_curve(spark, d))
 
 
 def min_cost_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(decision.cheapest_threshold(_curve(spark, d), 0.01))
+    return rounded(decision.cheapest_threshold(_curve(spark, d), 0.01))
 
 
 def recall_at_precision(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(decision.recall_at_precision(_curve(spark, d), 0.2))
+    return rounded(decision.recall_at_precision(_curve(spark, d), 0.2))
 
 
 def operating_point(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(decision.operating_point(scored(spark, d), "y", "score", "amount", 0.5))
+    return rounded(decision.operating_point(scored(spark, d), "y", "score", "amount", 0.5))
 
 
 def precision_at_budget(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(decision.precision_at_budget(scored(spark, d), "transaction_id", "y", "score", 50))
+    return rounded(decision.precision_at_budget(scored(spark, d), "transaction_id", "y", "score", 50))
 
 
 def pos_weight(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(decision.positive_weight(transactions(spark, d), "is_fraud"))
+    return rounded(decision.positive_weight(transactions(spark, d), "is_fraud"))
 
 
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.ranking_metrics(scored(spark, d), "y", "score"))
+    return rounded(metrics.ranking_metrics(scored(spark, d), "y", "score"))
 
 
 def threshold_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.threshold_metrics(scored(spark, d), "y", "score", 0.5))
+    return rounded(metrics.threshold_metrics(scored(spark, d), "y", "score", 0.5))
 
 
 def best_f1_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.best_f1_threshold(scored(spark, d), "y", "score"))
+    return rounded(metrics.best_f1_threshold(scored(spark, d), "y", "score"))
 
 
 def calibration_bins(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.calibration(scored(spark, d), "y", "score"))
+    return rounded(metrics.calibration(scored(spark, d), "y", "score"))
 
 
 def worst_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(metrics.worst_errors(scored(spark, d), "transaction_id", "y", "score", 20).select("transaction_id", "y", "score", "error"))
+    return rounded(metrics.worst_errors(scored(spark, d), "transaction_id", "y", "score", 20).select("transaction_id", "y", "score", "error"))
 
 
 QUERIES = {

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +30,26 @@ def get_session(name: str = "tidemark", cores: int | str = "*", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: ``spark.checkpoint.dir``, or, only where that is unset (tests), a temporary one."""
+    """The folder every executor can read: ``spark.checkpoint.dir``. Only a local session without that setting (tests) gets a
+    temporary one; on a cluster it is an error."""
     sc = spark.sparkContext
     own = sc._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
     if configured := sc.getConf().get("spark.checkpoint.dir"):
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+    else:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 class Stage:
-    """A table written to the shared folder: cuts lineage, survives lost executors, and can be dropped when a later round replaces it."""
+    """A table written to the shared folder: cuts lineage, survives lost executors, and can be dropped when a later round replaces
+    it, or together with all others by ``drop_stages``, once the results that read it are written."""
+
+    made: ClassVar[list[Stage]] = []
 
     def __init__(self, df: DataFrame):
         spark = df.sparkSession
@@ -48,11 +57,25 @@ class Stage:
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
         self.spark = spark
+        Stage.made.append(self)
 
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if self in Stage.made:
+            Stage.made.remove(self)
+
+
+@contextmanager
+def drop_stages() -> Iterator[None]:
+    """Drops the stage tables that are made within, at the end: ``with drop_stages(): query(...).write.parquet(...)``."""
+    before = set(map(id, Stage.made))
+    try:
+        yield
+    finally:
+        for s in [s for s in Stage.made if id(s) not in before]:
+            s.drop()
 
 
 def stage(df: DataFrame) -> DataFrame:
