@@ -17,7 +17,7 @@ from tidemark.session import Stage, require_columns
 #: Bytes of text that are cut into words at once; cells of a filter for each key of the index; most bits of the number of
 #: cells of each of the two filters (an index of more keys is taken in several passes); bytes of a piece of a filter;
 #: rows of the index up to which it is broadcast (about 200 bytes each at 13 words); walks that are tried for a recall.
-SLICE, CELLS_PER_KEY, MOST_BITS, PIECE, MOST_BROADCAST, MOST_WALKS = 1 << 20, 16, 27, 1 << 16, 100_000, 64
+SLICE, CELLS_PER_KEY, MOST_BITS, PIECE, MOST_BROADCAST, MOST_WALKS = 1 << 18, 16, 27, 1 << 16, 250_000, 64
 _ODD = 0x9E3779B97F4A7C15
 _END = 255  # a byte that UTF-8 never has; stands between texts
 
@@ -137,23 +137,28 @@ class Walks:
         """For each table the keys of the windows that begin at words 0 to n - 1."""
         padded = np.concatenate([h, np.zeros(self.steps + 1, np.uint64)])
         begin = np.arange(n)
-        end = begin + self.window
-        number = self.number
+        end, number = begin + self.window, self.number
+        word, move = np.empty(n, np.uint64), np.empty(n, np.int64)
         for seed, samples in zip(self.seeds, self.picks, strict=True):
             bits = _mix(padded ^ seed)
             at = begin.copy()
             keys = [np.full(n, number + k + 1, np.uint64) for k in range(len(samples))]
             wanted = [set(s.tolist()) for s in samples]
-            for step in range(max(s.max() for s in samples) + 1):
-                use = [k for k, s in enumerate(wanted) if step in s]
+            last = max(s.max() for s in samples)
+            for step in range(last + 1):
+                use = [key for key, s in zip(keys, wanted, strict=True) if step in s]
                 if use:
-                    word = np.where(at < end, padded[at], np.uint64(0))
-                    for k in use:
-                        keys[k] = (keys[k] ^ word) * np.uint64(_ODD)
-                        keys[k] ^= keys[k] >> np.uint64(29)
+                    np.take(padded, at, out=word, mode="clip")
+                    if step >= self.window:
+                        word[at >= end] = 0
+                    for key in use:
+                        key ^= word
+                        key *= np.uint64(_ODD)
+                        key ^= key >> np.uint64(29)
                 if step and step % 64 == 0:
                     bits = _mix(bits)
-                at += ((bits >> np.uint64(step % 64)) & np.uint64(1)).astype(np.uint8)[at]
+                if step < last:
+                    at += np.take((bits >> np.uint64(step % 64)).view(np.int64) & 1, at, out=move, mode="clip")
             number += len(samples)
             for k in keys:
                 yield _mix(k)
