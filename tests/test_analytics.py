@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
 from tidemark.functions import text as T
-from tidemark.operators import als, decision, demand, history, metrics, models, products, recommend, textpairs
-from tidemark.plans import demand_queries, model_queries, rec_queries
+from tidemark.operators import als, decision, demand, history, metrics, models, order, products, recommend, textpairs
+from tidemark.plans import demand_queries, model_queries, rec_queries, report, txn_queries
 from tidemark.sources import generators, sinks, tables
 from tidemark.streaming import history as sh
 
@@ -435,3 +436,67 @@ def test_stream_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.table("dist").collect()) == [1, 2, 3]
+
+
+def test_quantiles_with_ties_and_a_heavy_tail(spark):
+    rng = np.random.default_rng(8)
+    values = np.concatenate([np.full(4000, 2.5), rng.pareto(0.4, 6000), -rng.pareto(0.3, 500), np.zeros(1500)])
+    df = spark.createDataFrame(pd.DataFrame({"x": values})).unionByName(spark.createDataFrame([(None,), (float("nan"),)], "x double"))
+    probs = [0.0, 0.01, 0.1, 0.25, 1 / 3, 0.5, 0.9, 0.999, 1.0]
+    want = np.quantile(values, probs)
+    for most in (100_000, 50):
+        assert order.exact_quantiles(df, F.col("x"), probs, most=most) == pytest.approx(want.tolist())
+    assert order.exact_quantiles(df.limit(0), F.col("x"), [0.5]) == [None]
+    assert order.exact_quantiles(df.where("x = 2.5"), F.col("x"), [0.1, 0.9], most=5) == [2.5, 2.5]
+
+
+def test_best_model_and_column_model(spark):
+    t = spark.createDataFrame([("a", 0.5), ("b", 0.7), ("c", 0.7), ("d", None)], "model string, auc double")
+    best = lambda order, more: [r.model for r in models.mark_best(t, "auc", "model", order, more).where("is_best").collect()]
+    assert best(["a", "c", "b", "d"], True) == ["c"] and best(["d", "c", "b", "a"], False) == ["a"]
+    m = models.Expression("x").fit(spark.createDataFrame([(1.5,)], "x double"))
+    assert m.score(spark.createDataFrame([(7, 1.5), (8, -1.0), (9, 0.25)], "i int, x double"), ["i"]).collect() == [(7, 1.0), (8, 0.0), (9, 0.25)]
+    with pytest.raises(KeyError):
+        models.Expression("nope").fit(t)
+
+
+def test_stages_are_dropped_and_clusters_need_a_shared_folder(spark, monkeypatch):
+    import os
+
+    from tidemark import session
+
+    keep = session.Stage(spark.range(3))
+    with session.drop_stages():
+        inner = session.Stage(spark.range(5))
+        path = inner.path.removeprefix("file:")
+        assert os.path.isdir(path)
+    assert not os.path.isdir(path) and keep.df.count() == 3
+
+    class Context:
+        master = "spark://somewhere:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(type("Spark", (), {"sparkContext": Context()})())
+
+
+def test_report_has_sections_and_figures(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setitem(report.PROJECTS, "Fraud", {"tables": {"weight": (txn_queries.pos_weight, "weight", True)}, "figures": report.PROJECTS["Fraud"]["figures"]})
+    page = report.write_report(spark, sf, str(tmp_path), ("Fraud",)).read_text()
+    assert "<section><h1>Fraud</h1>" in page and "<polyline" in page and "class='best'" in page
+    assert "tables" in sinks.read_metrics(f"{tmp_path}/metrics.json")["Fraud"]
+    assert sinks.svg_lines([], "a", "b") == "<p>no data</p>"
+
+
+def test_sparse_dots():
+    rng = np.random.default_rng(9)
+    rows = [[{"k": int(k), "w": float(rng.normal())} for k in sorted(rng.choice(30, rng.integers(0, 12), replace=False))] if rng.random() < 0.8 else None for _ in range(80)]
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("w", pa.float64())]))
+    a, b = pa.array(rows[:40], kind), pa.array(rows[40:], kind)
+    want = [sum(x["w"] * y["w"] for x in p or [] for y in q or [] if x["k"] == y["k"]) for p, q in zip(rows[:40], rows[40:], strict=True)]
+    assert textpairs.sparse_dots(a, b) == pytest.approx(want)
+    assert textpairs.sparse_dots(a[3:20], b[3:20]) == pytest.approx(want[3:20])
+    assert len(textpairs.sparse_dots(a[:0], b[:0])) == 0 and not textpairs.sparse_dots(pa.array([None], kind), b[:1]).any()

@@ -31,22 +31,22 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: dict[str, Colum
     return out.drop("__part", *(f"__{x}{k}" for k in range(len(names)) for x in "ob"))
 
 
-def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], most: int = 100_000) -> list[float | None]:
+def exact_quantiles(df: DataFrame, value: Column, probs: Sequence[float], cells: int = 1000, most: int = 100_000) -> list[float | None]:
     """Quantiles by linear interpolation, as a list. Nulls and NaN are left out; no rows: None.
 
-    The values are kept in the shared folder, so ``df`` is computed once. Sampled ranks (a sketch of fixed size) give a narrow
-    bracket around each wanted rank; counting what lies below, on and within the brackets makes them certain, and only the
+    The values are kept in the shared folder, so ``df`` is computed once. Sampled ranks (a sketch of fixed size, true to one part
+    in ``cells``) give a narrow bracket around each wanted rank; counting what lies below, on and within the brackets makes them certain, and only the
     values within are looked at again, until at most ``most`` are left to fetch. Ranks that fall on a bracket's ends are known
     at once, so neither ties nor a heavy tail take more rounds.
     """
     staged = Stage(df.select(value.cast("double").alias("x")).where("x is not null and not isnan(x)"))
     try:
-        return _quantiles(staged.df, probs, most)
+        return _quantiles(staged.df, probs, cells, most)
     finally:
         staged.drop()
 
 
-def _quantiles(x: DataFrame, probs: Sequence[float], most: int) -> list[float | None]:
+def _quantiles(x: DataFrame, probs: Sequence[float], cells: int, most: int) -> list[float | None]:
     n = x.count()
     if not n:
         return [None] * len(probs)
@@ -72,7 +72,7 @@ def _quantiles(x: DataFrame, probs: Sequence[float], most: int) -> list[float |
             todo = [t for t in todo if t not in few]
             continue
         lo, hi, base, size, ranks = todo.pop()
-        todo += _narrowed(x.where(_within(lo, hi)), (lo, hi), base, size, ranks, known)
+        todo += _narrowed(x.where(_within(lo, hi)), (lo, hi), base, size, ranks, known, cells)
     return [known[math.floor(p)] + (known[math.ceil(p)] - known[math.floor(p)]) * (p - math.floor(p)) for p in places]
 
 
@@ -83,9 +83,9 @@ def _within(lo: float | None, hi: float | None) -> Column:
     return out if hi is None else out & (F.col("x") < hi)
 
 
-def _narrowed(part: DataFrame, ends: tuple, base: int, size: int, ranks: list[int], known: dict[int, float]) -> list[tuple]:
+def _narrowed(part: DataFrame, ends: tuple, base: int, size: int, ranks: list[int], known: dict[int, float], cells: int) -> list[tuple]:
     """Cuts an open interval at sampled values around its wanted ranks; what falls on a cut is known, the rest is returned."""
-    error = max(1e-4, min(1e-3, 1 / (40 * len(ranks))))
+    error = max(1e-4, min(1 / cells, 1 / (40 * len(ranks))))
     around = sorted({min(max((r - base + 0.5) / size + d * error, 0.0), 1.0) for r in ranks for d in (-2, 2)})
     cuts = sorted(set(part.approxQuantile("x", around, error)))
     x = F.col("x")

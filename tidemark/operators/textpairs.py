@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +14,8 @@ from tidemark.functions import text as T
 from tidemark.operators.order import running_totals
 from tidemark.session import Stage, require_columns
 
-MOST_WORDS, MOST_CHARS = 50_000, 60_000
+#: Terms of the two vocabularies; terms of any vocabulary, which is broadcast.
+MOST_WORDS, MOST_CHARS, MOST_TERMS = 50_000, 60_000, 1_000_000
 #: The names of the features, in their order.
 LEXICAL = [
     "token_jaccard", "content_jaccard", "idf_weighted_overlap", "shared_token_count", "min_token_count", "max_token_count", "token_count_ratio", "abs_char_length_diff",
@@ -29,6 +33,8 @@ def _texts(pairs: DataFrame) -> DataFrame:
 
 def fit_idf(pairs: DataFrame, grams: Callable[[Column], Column], min_df: int, most: int) -> DataFrame:
     """term, df, idf = ln((1 + n) / (1 + df)) + 1, for the ``most`` most frequent terms (ties: alphabetically) in ``min_df`` or more texts."""
+    if not 0 < most <= MOST_TERMS:
+        raise ValueError(f"a vocabulary has between 1 and {MOST_TERMS} terms")
     t = _texts(pairs)
     n = t.agg(F.coalesce(F.sum("mult"), F.lit(0)).alias("n_texts"))
     counted = t.select("h", "mult", F.explode(grams(F.col("t"))).alias("term")).groupBy("term", "h", "mult").agg(F.count("*").alias("tf"))
@@ -37,21 +43,38 @@ def fit_idf(pairs: DataFrame, grams: Callable[[Column], Column], min_df: int, mo
     return top.join(F.broadcast(n)).select("term", "df", (F.log((1 + F.col("n_texts")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def sparse_dots(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """Dot products of two columns of sparse vectors (lists of structs k, w, sorted by k), all rows at once. A null list is empty."""
+    rows, keys, values = [], [], []
+    for x in (a, b):
+        size = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False)
+        flat = x.flatten()
+        rows.append(np.repeat(np.arange(len(x)), size))
+        keys.append(rows[-1] * (1 << 32) + flat.field("k").to_numpy(zero_copy_only=False))
+        values.append(flat.field("w").to_numpy(zero_copy_only=False))
+    at = np.minimum(np.searchsorted(keys[0], keys[1]), max(len(keys[0]) - 1, 0))
+    hit = np.flatnonzero(keys[0][at] == keys[1]) if len(keys[0]) else np.zeros(0, np.int64)
+    return np.bincount(rows[1][hit], values[0][at[hit]] * values[1][hit], len(a))
+
+
 def tfidf_cosine(pairs: DataFrame, idf: DataFrame, grams: Callable[[Column], Column]) -> DataFrame:
     """pair_id, cosine of the two texts' vectors of (1 + ln tf) * idf; 0 if one is empty.
 
-    Vectors are made once per different text. The vocabulary is bounded by the fit, so it is numbered and broadcast.
+    Vectors are made once per different text, as one row of term numbers and weights; pairs are joined with the two vectors,
+    not with their entries. The vocabulary is bounded by the fit, so it is numbered and broadcast.
     """
     idf = Stage(idf.select("term", "idf", F.row_number().over(Window.orderBy("term")).alias("k"))).df
     tf = _texts(pairs).select("h", F.explode(grams(F.col("t"))).alias("term")).groupBy("h", "term").agg(F.count("*").alias("tf"))
-    v = tf.join(F.broadcast(idf), "term").select("h", F.col("k").alias("term"), ((1 + F.log("tf")) * F.col("idf")).alias("w"))
-    v = Stage(v).df
-    norms = v.groupBy("h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    side = lambda q, k: pairs.select("pair_id", F.unhex(F.md5(q)).alias("h"), F.lit(k).alias("k"))
-    entries = side("question1", 1).unionAll(side("question2", 2)).join(v.join(norms, "h").select("h", "term", (F.col("w") / F.col("norm")).alias("w")), "h")
-    w = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("w"))), F.lit(0.0))
-    dot = entries.groupBy("pair_id", "term").agg((w(1) * w(2)).alias("p")).groupBy("pair_id").agg(F.sum("p").alias("cosine"))
-    return pairs.select("pair_id").join(dot, "pair_id", "left").select("pair_id", F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    v = tf.join(F.broadcast(idf), "term").select("h", "k", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+    v = Stage(v.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("k", "w"))).alias("x"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))).df
+
+    @F.arrow_udf("double")
+    def dot(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(sparse_dots(a, b))
+
+    side = lambda k: v.select(F.col("h").alias(f"h{k}"), F.col("x").alias(f"x{k}"), F.col("norm").alias(f"norm{k}"))
+    both = pairs.select("pair_id", F.unhex(F.md5("question1")).alias("h1"), F.unhex(F.md5("question2")).alias("h2")).join(side(1), "h1", "left").join(side(2), "h2", "left")
+    return both.select("pair_id", F.coalesce(dot("x1", "x2") / (F.col("norm1") * F.col("norm2")), F.lit(0.0)).alias("cosine"))
 
 
 def lexical_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def forecast_value_add(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_by_category(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(demand.by_group(_predictions(spark, d), "model", "category"))
+    return _rounded(demand.by_group(_predictions(spark, d), "model", "category")).orderBy(F.desc("volume"), "category", "model")
 
 
 def metrics_by_horizon_day(spark: SparkSession, d: str) -> DataFrame:

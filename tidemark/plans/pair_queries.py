@@ -107,6 +107,12 @@ def connected_components(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(textpairs.component_summary(pairs(spark, d).where("is_duplicate = 1"), "question1", "question2"))
 
 
+def duplicates_by_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and share of duplicates by the number of tokens of the first question."""
+    p = pairs(spark, d).groupBy(F.size(T.tokens(F.col("question1"))).alias("n_tokens"))
+    return _rounded(p.agg(F.count("*").alias("n"), F.avg("is_duplicate").alias("duplicate_rate")))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     score = T.jaccard(F.array_distinct(T.tokens(F.col("question1"))), F.array_distinct(T.tokens(F.col("question2"))))
     return pairs(spark, d).select("pair_id", F.col("is_duplicate").alias("y"), score.alias("score"), "pair_kind")
@@ -120,7 +126,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_stats, idf_table, tfidf_word_cosine, tfidf_char_cosine, pair_lexical_features, pair_features, target_encoding, unseen_share, random_pair_split,
-        random_pair_split_hashed, hashed_split_check, cluster_disjoint_split, split_report, rebalanced_split, question_overlap, hard_negative_neighbours, connected_components, metrics_by_pair_kind,
+        random_pair_split_hashed, hashed_split_check, cluster_disjoint_split, split_report, rebalanced_split, question_overlap, hard_negative_neighbours, connected_components, duplicates_by_tokens, metrics_by_pair_kind,
     )
 }
 
@@ -241,5 +247,7 @@ ORACLE = {
     "connected_components": f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT question1 AS x, question2 AS y FROM pairs WHERE is_duplicate = 1 UNION SELECT question2, question1 FROM pairs WHERE is_duplicate = 1),
   r AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, r.root FROM r JOIN e ON r.node = e.x), g AS (SELECT comp, count(*) AS c FROM (SELECT node, min(root) AS comp FROM r GROUP BY 1) GROUP BY 1)
   SELECT count(*) AS n_components, CAST(sum(c) AS BIGINT) AS n_nodes, {R.format("max(c) / sum(c)")} AS largest_share FROM g""",
+    "duplicates_by_tokens": _Q
+    + f" SELECT CAST(len({_TOK.format('question1')}) AS INTEGER) AS n_tokens, count(*) AS n, {R.format('avg(is_duplicate)')} AS duplicate_rate FROM pairs GROUP BY 1",
     "metrics_by_pair_kind": " UNION ALL ".join(map(_kind, KINDS)),
 }

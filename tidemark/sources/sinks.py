@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import math
 from pathlib import Path
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,40 @@ def read_metrics(path: str) -> dict:
     return json.loads(Path(path).read_text())
 
 
+def svg_lines(rows: list[dict], x: str, y: str, series: str | None = None, width: int = 420, height: int = 220) -> str:
+    """A line for each series over numeric ``x``, as a self-contained figure; rows without a number are left out."""
+    number = lambda v: isinstance(v, (int, float)) and math.isfinite(v)
+    lines: dict[str, list[tuple[float, float]]] = {}
+    for r in rows:
+        if number(r.get(x)) and number(r.get(y)):
+            lines.setdefault(str(r.get(series, "")) if series else "", []).append((float(r[x]), float(r[y])))
+    points = [p for line in lines.values() for p in line]
+    if not points:
+        return "<p>no data</p>"
+    (x0, x1), (y0, y1) = ((min(v), max(v)) for v in zip(*points, strict=True))
+    at = lambda p: f"{40 + (p[0] - x0) / ((x1 - x0) or 1) * (width - 60):.1f},{height - 30 - (p[1] - y0) / ((y1 - y0) or 1) * (height - 50):.1f}"
+    parts = [f"<svg xmlns='http://www.w3.org/2000/svg' viewBox='0 0 {width} {height}' width='{width}'>"]
+    for k, (name, line) in enumerate(sorted(lines.items())):
+        shade = f"hsl({k * 67 % 360},60%,40%)"
+        parts.append(f"<polyline fill='none' stroke='{shade}' points='{' '.join(map(at, sorted(line)))}'><title>{html.escape(name)}</title></polyline>")
+        parts.append(f"<text x='{width - 15}' y='{14 + 12 * k}' font-size='10' text-anchor='end' fill='{shade}'>{html.escape(name)}</text>")
+    labels = ((40, height - 16, x0), (width - 60, height - 16, x1), (2, height - 30, y0), (2, 20, y1))
+    parts += [f"<text x='{a}' y='{b}' font-size='9'>{v:.4g}</text>" for a, b, v in labels]
+    parts.append(f"<text x='{width // 2}' y='{height - 4}' font-size='10' text-anchor='middle'>{html.escape(f'{y} by {x}')}</text></svg>")
+    return "".join(parts)
+
+
+def project_report(projects: dict[str, dict], title: str) -> str:
+    """One self-contained page with a section for each project: its tables and its figures (``{"tables": {...}, "best": {...},
+    "figures": {name: svg}}``)."""
+    parts = []
+    for name, p in projects.items():
+        body = html_report(p.get("tables", {}), name, p.get("best")).split("</h1>", 1)[1]
+        figures = "".join(f"<figure>{svg}<figcaption>{html.escape(f)}</figcaption></figure>" for f, svg in p.get("figures", {}).items())
+        parts.append(f"<section><h1>{html.escape(name)}</h1>{body}{figures}</section>")
+    return f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title>" + "\n".join(parts)
+
+
 def html_report(metrics: dict, title: str, best: dict[str, tuple[str, bool]] | None = None) -> str:
     """A page with a table for each list of records; ``best``: per table the column by which a row is marked, and whether more is better."""
     parts = [f"<!doctype html><meta charset='utf-8'><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
