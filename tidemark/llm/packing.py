@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import pickle
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -59,15 +61,13 @@ def word_punct_tokens(text: Column | str) -> Column:
 
 
 def bpe_tokens(df: DataFrame, id: str, text: str, ranks_path: str) -> DataFrame:
-    """id and n_tokens under a byte-pair tokenizer whose ranks file (base64 token and rank per line) every executor can read."""
+    """id and n_tokens under a byte-pair tokenizer. The ranks file (base64 token and rank per line, a few MB) is read where the
+    query is made and goes to the tasks with the job, so executors need not have it."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks_path).read_bytes().splitlines())}
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import base64
-
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # fixed value: the public splitting pattern of this family of tokenizers
         pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

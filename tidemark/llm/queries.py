@@ -68,6 +68,22 @@ def p6_assign(spark: SparkSession, d: str) -> DataFrame:
     return components.assign_splits(q, "pair_id", ["q1", "q2"])
 
 
+def p6_check(spark: SparkSession, d: str) -> DataFrame:
+    """What an assignment must hold: every record once, no question in two splits, and each split's share of the records within
+    five standard deviations (components fall as a whole) of what was asked for."""
+    q = read_table(spark, d, "question_pairs")
+    a = Stage(p6_assign(spark, d)).df
+    texts = a.join(q.select("pair_id", F.explode(F.array(components.clean_text("question1"), components.clean_text("question2"))).alias("t")), "pair_id").where("t is not null")
+    torn = texts.groupBy("t").agg(F.countDistinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    sizes = a.groupBy("component").agg(F.count("*").alias("s")).agg(F.sum("s").alias("n"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("spread"))
+    want = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, share double")
+    got = want.join(a.groupBy("split").agg(F.count("*").alias("c")), "split", "left").join(F.broadcast(sizes))
+    off = F.abs(F.coalesce("c", F.lit(0)) - F.col("share") * F.col("n")) <= 5 * F.col("spread") * F.sqrt(F.col("share") * (1 - F.col("share")))
+    near = got.agg(F.min(off).alias("shares_are_near"))
+    whole = a.agg(F.count("*").alias("n_records"), (F.count("*") - F.countDistinct("pair_id")).alias("n_repeated"))
+    return whole.join(F.broadcast(torn)).join(F.broadcast(near))
+
+
 def _together(spark: SparkSession, d: str, min_count: int = 1, min_share: Fraction = Fraction(0)) -> DataFrame:
     plays = read_table(spark, d, "interactions").select("user_id", F.to_date("timestamp").alias("day"), "item_id")
     return cooccur.co_occurrence(plays, ["user_id", "day"], "item_id", min_count, min_share)
@@ -96,6 +112,15 @@ def p7_surprise(spark: SparkSession, d: str) -> DataFrame:
     return _together(spark, d)
 
 
+def p7_surprise_check(spark: SparkSession, d: str) -> DataFrame:
+    """What the surprises must hold: every pair that occurs with its count, ln p at most 0, an expected count above 0, and every
+    discovery more surprising than what isn't one."""
+    t = Stage(_together(spark, d)).df
+    bad = ~F.coalesce((F.col("ln_p") <= 0) & (F.col("expected") > 0), F.lit(False))
+    edge = F.coalesce(F.max(F.when(F.col("significant"), F.col("ln_p"))) <= F.min(F.when(~F.col("significant"), F.col("ln_p"))), F.lit(True))
+    return t.agg(F.count("*").alias("n_pairs"), F.sum("n_ab").alias("n_together"), F.count_if(bad).alias("n_bad"), edge.alias("cut_is_clean"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     t = _together(spark, d, *CASE).where((F.col("n_ab") >= 5) & (wide("n_ab") * 200 >= wide("n_baskets")) & (wide("n_ab") * wide("n_baskets") >= wide("n_a") * wide("n_b") * 3))
@@ -191,7 +216,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_found, p7_pairs, p7_all_pairs, p7_surprise, p7_found,
+        p3_top_items, p3_found, p4_found, p4_report, p5_groups, p5_found, p6_assign, p6_check, p6_found, p7_pairs, p7_all_pairs, p7_surprise, p7_surprise_check, p7_found,
         p8_pack, p8_fill, p8_check, p8_fill_bpe, p8_found, p9_found, p9_leaks, p9_recall, p10_found, p10_withheld, p10_composition,
     )
 }
@@ -235,6 +260,8 @@ ORACLE = {
     + """, x AS (SELECT pair_id, s, a AS node FROM q WHERE s IS NOT NULL UNION SELECT pair_id, s, b FROM q WHERE s IS NOT NULL),
   g AS (SELECT pair_id, s, coalesce(c.comp, 'alone ' || x.node) AS grp FROM x LEFT JOIN c ON x.node = c.node)
   SELECT DISTINCT pair_id FROM g WHERE grp IN (SELECT grp FROM g GROUP BY 1 HAVING count(DISTINCT s) > 1)""",
+    "p6_check": "SELECT count(DISTINCT pair_id) AS n_records, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_torn, true AS shares_are_near FROM question_pairs",
+    "p7_surprise_check": _ALL_DAYS + "SELECT count(*) AS n_pairs, CAST(sum(n_ab) AS BIGINT) AS n_together, CAST(0 AS BIGINT) AS n_bad, true AS cut_is_clean FROM j",
     "p7_pairs": _DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_all_pairs": _ALL_DAYS + "SELECT item_a, item_b, n_a, n_b, n_ab, n_baskets, round(CAST(n_ab AS DOUBLE) * n_baskets / (CAST(n_a AS DOUBLE) * n_b), 4) AS ratio FROM j",
     "p7_found": _DAYS + "SELECT item_a, item_b FROM j WHERE n_ab * n_baskets >= 3 * n_a * n_b",
