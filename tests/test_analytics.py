@@ -242,13 +242,13 @@ def test_als_ways_to_the_sums_agree(spark, monkeypatch, limits):
     assert all(np.allclose(np.linalg.solve(a[i], b[i]), y[i], atol=1e-6) for i in y)
 
 
-def test_item_knn_full_keeps_100_neighbours(spark, tmp_path):
+def test_item_knn_keeps_100_neighbours(spark, tmp_path):
     """One user with 130 items: each item has 129 neighbours."""
     rows = [(u, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for u in (1, 2) for i in range(130 * (u == 1) + 2 * (u == 2))]
     plays = spark.createDataFrame(rows, "user_id bigint, item_id bigint, timestamp timestamp_ntz").selectExpr("*", "1 as play_count", "timestamp as ingested_at")
     plays.write.parquet(f"{tmp_path}/interactions.parquet")
     plays.select("item_id").distinct().write.parquet(f"{tmp_path}/items.parquet")
-    sizes = {r["count"] for r in rec_queries.QUERIES["item_knn_full_neighbours"](spark, str(tmp_path)).groupBy("src").count().collect()}
+    sizes = {r["count"] for r in rec_queries.QUERIES["item_knn_neighbours"](spark, str(tmp_path)).groupBy("src").count().collect()}
     assert sizes == {100}
 
 

@@ -11,7 +11,7 @@ from tidemark.plans.txn_queries import R
 from tidemark.session import Stage, read_table
 from tidemark.sources.tables import PLAYS_SQL, plays
 
-K, NEIGHBOURS = 10, 20
+K, NEIGHBOURS = 10, 100
 
 
 def split(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,26 +53,12 @@ def random_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def item_knn_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The nearest ``NEIGHBOURS``, as its SQL has them; item_knn_full_neighbours has the model's 100."""
     return _rounded(recommend.item_neighbours(split(spark, d)[0], NEIGHBOURS))
 
 
-def item_knn_full_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(recommend.item_neighbours(split(spark, d)[0]))
-
-
-def _knn(spark: SparkSession, d: str, *neighbours: int) -> DataFrame:
-    train, test, _ = split(spark, d)
-    return recommend.masked_top_k(recommend.item_knn_scores(train, recommend.item_neighbours(train, *neighbours), test), train, K)
-
-
 def item_knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    """From the nearest ``NEIGHBOURS`` of each item, as its SQL has them; item_knn_full_topk is from the model's 100."""
-    return _rounded(_knn(spark, d, NEIGHBOURS))
-
-
-def item_knn_full_topk(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_knn(spark, d))
+    train, test, _ = split(spark, d)
+    return _rounded(recommend.masked_top_k(recommend.item_knn_scores(train, recommend.item_neighbours(train, NEIGHBOURS), test), train, K))
 
 
 def rec_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +97,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         interaction_summary, repeat_collapse, leave_last_out, train_test_leak_check, popularity_topk_masked, random_topk, item_knn_neighbours, item_knn_topk,
-        item_knn_full_neighbours, item_knn_full_topk,
         rec_accuracy, rec_distribution, rec_by_activity, als_factors, als_objective, als_topk,
     )
 }
@@ -141,8 +126,6 @@ nm AS (SELECT src AS i, sqrt(p) AS n FROM dt WHERE src = dst),
 sim AS (SELECT src, dst, round(p / (x.n * y.n + 10.0 + 1e-9), 12) AS similarity FROM dt JOIN nm x ON x.i = src JOIN nm y ON y.i = dst WHERE src <> dst AND p <> 0),
 nb AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY similarity DESC, dst) AS r FROM sim) WHERE r <= {NEIGHBOURS})"""
 )
-_KNN_FULL = _KNN.replace(f"WHERE r <= {NEIGHBOURS})", "WHERE r <= 100)")
-
 ORACLE = {
     "interaction_summary": f"""WITH {PLAYS_SQL}, cat AS (SELECT DISTINCT item_id FROM items), pi AS (SELECT item_id, count(*) AS n FROM plays GROUP BY 1), pu AS (SELECT count(*) AS n FROM plays GROUP BY user_id)
   SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, (SELECT count(*) FROM cat) AS catalogue,
@@ -158,11 +141,6 @@ ORACLE = {
     "item_knn_topk": _KNN
     + f""", sc AS (SELECT user_id, dst AS item_id, round(sum(play_count * similarity), 10) AS score FROM tr SEMI JOIN te USING (user_id) JOIN nb ON src = tr.item_id GROUP BY 1, 2),
   rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN tr USING (user_id, item_id))
-  SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {R.format("score")} AS score FROM rk WHERE rank <= {K}""",
-    "item_knn_full_neighbours": _KNN_FULL + f" SELECT src, dst, {R.format('similarity')} AS similarity FROM nb",
-    "item_knn_full_topk": _KNN_FULL
-    + f""", sc AS (SELECT user_id, dst AS item_id, round(sum(play_count * similarity), 10) AS score FROM tr SEMI JOIN te USING (user_id) JOIN nb ON src = tr.item_id GROUP BY 1, 2),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sc ANTI JOIN tr USING (user_id, item_id))
   SELECT user_id, CAST(rank AS INTEGER) AS rank, item_id, {R.format("score")} AS score FROM rk WHERE rank <= {K}""",
     "rec_accuracy": _ACC + f" SELECT {R.format('avg(recall)')} AS recall, {R.format('avg(hit)')} AS hit_rate, {R.format('avg(ndcg)')} AS ndcg, {R.format('avg(map)')} AS map FROM pu",
     "rec_distribution": _POP
