@@ -463,3 +463,34 @@ def test_subjects(spark):
     assert subjects.section_subjects(df.limit(0), "id", "t", lab, "id", "s", ["a"]).count() == 0
     with pytest.raises(ValueError):
         subjects.section_subjects(df, "id", "t", lab, "id", "s", [])
+
+
+def test_subjects_links_are_all_that_are_verified(spark):
+    rng = random.Random(5)
+    one = lambda words: "\\section{x} " + " ".join(words)
+    # 40 documents a subject and eight of two subjects with a word of their own
+    docs = [(k, one(rng.choices(TERMS[s], k=4))) for k, s in enumerate(sorted(TERMS) * 40)]
+    labels = [(k, s) for k, s in enumerate(sorted(TERMS) * 40)]
+    docs += [(k, one(["zircon"])) for k in range(200, 208)]
+    labels += [(k, s) for k in range(200, 208) for s in ("sky", "soil")]
+    docs += [(k, one(rng.choices(sum(TERMS.values(), []), k=6))) for k in range(300, 330)] + [(330, one(["zircon"]))]
+    df, lab = spark.createDataFrame(docs, "id bigint, t string"), spark.createDataFrame(labels, "id bigint, s string")
+    words = {i: subjects.section_words(t.split("} ")[1]) for i, t in docs}
+    n = Counter(i for i, _ in labels)
+    rows = [(list(words[i]), s, 1 / n[i]) for i, s in labels]
+    info = {r.w: r.info for r in subjects.word_information(spark.createDataFrame(rows, "words array<string>, k string, v double"), 3.0, 0.35).collect()}
+    unit = {}
+    for i, c in words.items():
+        x = {w: math.sqrt(f) * info[w] for w, f in c.items() if w in info}
+        unit[i] = {w: v / math.sqrt(sum(y * y for y in x.values())) for w, v in x.items()}
+    got = {r.id: r for r in subjects.section_subjects(df, "id", "t", lab, "id", "s", sorted(TERMS), rounds=1).collect()}
+    for i in range(300, 331):
+        heard = Counter()
+        for j, s in labels:
+            cosine = sum(v * unit[j].get(w, 0) for w, v in unit[i].items())
+            heard[s] += cosine / n[j] if cosine >= 0.05 else 0
+        assert heard[got[i].subject] == pytest.approx(max(heard.values()))
+        assert got[i].share == pytest.approx(max(heard.values()) / sum(heard.values()))
+    # in one block or in many, the same
+    whole, blocks = ({r.id: (r.subject, round(r.share, 9)) for r in subjects.section_subjects(df, "id", "t", lab, "id", "s", sorted(TERMS), rounds=2, block=b).collect()} for b in (1 << 22, 300))
+    assert whole == blocks and len(whole) == len(docs)
