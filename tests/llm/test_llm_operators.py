@@ -494,3 +494,47 @@ def test_subjects_links_are_all_that_are_verified(spark):
     # in one block or in many, the same
     whole, blocks = ({r.id: (r.subject, round(r.share, 9)) for r in subjects.section_subjects(df, "id", "t", lab, "id", "s", sorted(TERMS), rounds=2, block=b).collect()} for b in (1 << 22, 300))
     assert whole == blocks and len(whole) == len(docs)
+
+
+def test_subjects_links_of_settled_documents_are_made_once(spark, monkeypatch):
+    rng = random.Random(9)
+    codes = sorted(TERMS)
+    text = lambda *subs: "".join(f"\\section{{x}} {' '.join(rng.choices(TERMS[s], k=4) + rng.choices(sum(TERMS.values(), []), k=2))}\n" for s in subs)
+    # 60 documents of one label, six of two, six of a wrong one, the rest without
+    docs = [(k, text(codes[k % 3], codes[k % 3])) for k in range(66)] + [(k, text(codes[k % 3], codes[(k + 1) % 3])) for k in range(66, 100)]
+    labels = {k: {k % 3} for k in range(60)} | {k: {(k + 1) % 3} for k in range(60, 66)} | {k: {k % 3, (k + 1) % 3} for k in range(66, 72)}
+    df, lab = spark.createDataFrame(docs, "id bigint, t string"), spark.createDataFrame([(i, codes[k]) for i in labels for k in labels[i]], "id bigint, s string")
+    words = [(i, j, subjects.section_words(h + "\n" + b)) for i, t in docs for j, (h, b) in enumerate(subjects.sections_of(t))]
+    rows = [(list(c), codes[k], 1 / len(labels[i])) for i, _, c in words if i in labels for k in labels[i]]
+    info = {r.w: r.info for r in subjects.word_information(spark.createDataFrame(rows, "words array<string>, k string, v double"), 3.0, 0.35).collect()}
+    x = np.array([[math.sqrt(c.get(w, 0)) * info[w] for w in sorted(info)] for _, _, c in words])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    of = np.array([i for i, _, _ in words])
+    anchors = np.isin(of, list(labels))
+    cosine = x @ x[anchors].T
+    cosine[(of[:, None] == of[anchors]) | (cosine < 0.05)] = 0
+    held = lambda m: np.array([[(k in m.get(i, ())) / max(1, len(m.get(i, ()))) for k in range(3)] for i in of[anchors]])
+    # all links, in every round
+    state = held(labels)
+    told = (cosine @ state)[anchors]
+    best = [told[(of[anchors] == i) & told.any(1)].argmax(1).tolist() for i in range(len(docs))]
+    trusted = {i: {k for k in ks if 0 < best[i].count(k) >= 0.1 * len(best[i])} for i, ks in labels.items()}
+    mask = np.array([[not trusted.get(i) or k in trusted[i] for k in range(3)] for i in of])
+    for _ in range(2):
+        heard = cosine @ state * mask
+        sharp = (heard / np.maximum(heard.sum(1, keepdims=True), 1e-300)) ** 3
+        said = cosine.T @ (sharp / np.maximum(sharp.sum(1, keepdims=True), 1e-300)) * mask[anchors]
+        state = np.where(said.sum(1, keepdims=True) > 0, said / np.maximum(said.sum(1, keepdims=True), 1e-300), held(trusted))
+    heard = cosine @ state * mask
+    sizes, real = [], subjects._pass
+    monkeypatch.setattr(subjects, "_pass", lambda block, *a: sizes.append(len(block.docs)) or real(block, *a))
+    got = {(r.id, r.sec): r for r in subjects.section_subjects(df, "id", "t", lab, "id", "s", codes).collect()}
+    assert len(got) == len(words)
+    for (i, j, _), h in zip(words, heard, strict=True):
+        if h.any():
+            assert got[i, j].share == pytest.approx(h.max() / h.sum()) and h[codes.index(got[i, j].subject)] == pytest.approx(h.max())
+        else:
+            assert got[i, j].subject is None
+    settled = sum(i in labels and len(labels[i]) == 1 and trusted[i] == labels[i] for i in of.tolist())
+    assert 0 < settled < anchors.sum()
+    assert sizes == [anchors.sum(), settled] + [anchors.sum() - settled] * 3
